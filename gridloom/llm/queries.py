@@ -1,12 +1,14 @@
-"""Queries of the training-data operators over the driver's tables, and SQL for those that SQL can express."""
+"""Queries of the training-data operators over the driver's tables."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import simhash
+from gridloom.llm import mixing, quality, simhash, tokenfile, topk, urlrules
 from gridloom.llm.common import read, unsigned_hex
+from gridloom.llm.sql import SQL as SQL
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +16,39 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.new_path(spark)
+    tokenfile.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=0)
+    return tokenfile.positions(spark, path)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
+#: Rules of op8: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(read(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_mixing": op3_mixing,
+    "op4_topk": op4_topk,
+    "op5_token_file": op5_token_file,
+    "op7_quality": op7_quality,
+    "op8_url_filter": op8_url_filter,
 }
-
-SQL: dict[str, str] = {}
