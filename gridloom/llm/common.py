@@ -7,6 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch handed to Python; keeps a batch of long texts small.
 BATCH_ROWS = 1000
 
+#: Threads of the tokenizers libraries in each Python worker.
+THREADS = 2
+os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+
 _FOLDERS: set[str] = set()
+_SHIPPED: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,10 +34,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size where the session still has Spark's default."""
+    """Ready the session for Python stages: small Arrow batches where Spark's default still holds, and this package
+    sent to the executors, who may not have it installed."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        path = os.path.join(tempfile.mkdtemp(), "gridloom_package.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for at, _, names in os.walk(os.path.join(root, "gridloom")):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    out.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
+        spark.sparkContext.addPyFile(path)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -94,5 +111,18 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def stretches(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts in order, in lists of about so many characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def unsigned_hex(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))

@@ -13,7 +13,7 @@ stops at EPOCHS times its source's words; the rest is shared again by weight unt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,11 +30,15 @@ DIGITS = 3
 GOLDEN = 0.6180339887498949
 
 
+def _text_key(text: Column) -> Column:
+    return F.coalesce(F.md5(text.cast("binary")), F.lit("-"))
+
+
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, shuffle) for every row; a null text has size 0."""
+    """(doc_id, source, size, shuffle, text_key) for every row; a null text has size 0."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("shuffle"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("shuffle"), _text_key(F.col(text_col)).alias("text_key"))
 
 
 def targets(sized: DataFrame, epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -103,7 +107,7 @@ def placed(sized: DataFrame, goals: DataFrame) -> DataFrame:
     Running sums are taken within ranges of the shuffle key, on top of the sums of the ranges before, so that a
     source with a third of all rows isn't sorted in one task.
     """
-    rows = sized.join(F.broadcast(goals), sized["source"].eqNullSafe(goals["source"])).select("doc_id", sized["source"], "size", "shuffle", "ord", "source_size", "target", "words")
+    rows = sized.join(F.broadcast(goals), sized["source"].eqNullSafe(goals["source"])).select("doc_id", sized["source"], "size", "shuffle", "text_key", "ord", "source_size", "target", "words")
     rows = rows.withColumn("range", F.substring("shuffle", 1, DIGITS))
     sums = rows.groupBy("ord", "range").agg(F.sum("size").alias("n"))
     sums = sums.select("ord", "range", (F.sum("n").over(W.partitionBy("ord").orderBy("range")) - F.col("n")).alias("base"))
@@ -115,7 +119,7 @@ def placed(sized: DataFrame, goals: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", epochs: int = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
     """(rows, pieces).
 
-    rows: doc_id, source, size, source_size, target, words, ord, start, row for every row of docs; row is a running
+    rows: doc_id, source, size, text_key, source_size, target, words, ord, start, row for every row of docs; row is a running
     number of rows. pieces: slot, row, first, taken: the words [first, first + taken) of the row's text that a slot of
     the mix takes. Reruns agree: the shuffle follows doc_id, repeated rows can't be told apart. Null and empty texts
     have size 0 and are never taken; a null source is a source of its own, last in order; a source without words has
@@ -142,8 +146,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows, pieces
 
 
-def taken(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of docs: the words that the mix takes of it."""
+def taken_rows(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, size, text_key, source_size, target, taken) for every row of docs."""
     rows, pieces = mix(docs, **options)
     used = pieces.groupBy("row").agg(F.sum("taken").alias("taken"))
-    return rows.join(used, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return rows.join(used, "row", "left").select("doc_id", "source", "size", "text_key", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of docs: the words that the mix takes of it."""
+    return taken_rows(docs, **options).drop("text_key")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs as the mix takes them, whole: each row as often as the mix takes its words, to the nearest whole number.
+
+    Only the document at the end of a source's stretch is taken in part, so the rounding moves one document for each
+    source. Rows with the same id, text and source count as one with the copies of all. Texts without words are never
+    taken. The columns stay as they are.
+    """
+    used = taken_rows(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    copies = F.floor(F.col("taken") / F.col("size") + 0.5)
+    counts = used.filter("taken > 0").withColumn("copies", copies).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
+    counts = cut(counts.filter(F.col("__copies") > 0).select(_plain(F.col("doc_id")).alias("__id"), _plain(F.col("source")).alias("__source"), F.col("text_key").alias("__key"), "__copies", "__rows"))
+    keyed = docs.withColumns({"__id": _plain(F.col(id_col).cast("long")), "__source": _plain(F.col(source_col)), "__key": _text_key(F.col(text_col))})
+    on = ["__id", "__source", "__key"]
+    out = keyed.join(counts.filter(F.col("__rows") == 1), on)
+    repeated = counts.filter(F.col("__rows") > 1)
+    if not repeated.isEmpty():
+        out = out.unionByName(keyed.join(repeated, on).dropDuplicates(on))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+
+
+def _plain(column: Column) -> Column:
+    """A string that tells null from every value."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("-"))

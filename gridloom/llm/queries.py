@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, quality, simhash, tokenfile, topk, urlrules
+from gridloom.llm import langid, licenses, mixing, quality, secrets, simhash, spm, tokenfile, topk, urlrules
 from gridloom.llm.common import read, unsigned_hex
 from gridloom.llm.sql import SQL as SQL
 
@@ -16,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,6 +35,11 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.positions(spark, path)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    return found.select("doc_id", "n_candidates", "n_secrets", "secrets", F.md5(F.col("cleaned").cast("binary")).alias("cleaned_md5"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
@@ -44,11 +54,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(read(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {
-    "op1_simhash": op1_simhash,
-    "op3_mixing": op3_mixing,
-    "op4_topk": op4_topk,
-    "op5_token_file": op5_token_file,
-    "op7_quality": op7_quality,
-    "op8_url_filter": op8_url_filter,
-}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_mixing, op4_topk, op5_token_file, op6_secret_scan, op7_quality, op8_url_filter, op9_sentencepiece, op10_license_scan)}

@@ -148,6 +148,7 @@ def links(vertices: DataFrame, radius: int = 3) -> DataFrame:
             u, v = _link(table, radius)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
+    small_batches(vertices.sparkSession)
     dealt = blocks(vertices).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(rows, "u long, v long")
 

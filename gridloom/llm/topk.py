@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, small_batches
 
 SCALE = 256
 PIVOTS = 32
@@ -135,6 +135,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     stay below 2^28. An empty table gives an empty result; other columns are left out, so their names can't clash.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = cut(rows.select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col)).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")))
     dim = rows.agg(F.max(F.size("vector"))).first()[0] or 1

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, raw
+from gridloom.llm.common import cut, raw, small_batches
 
 
 def lowered(column: Column) -> Column:
@@ -91,6 +91,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     urls without :// have an empty host and path and get `default`. Repeated rows give repeated results, empty tables
     empty ones; other columns of pages are left out, so their names can't clash.
     """
+    small_batches(pages.sparkSession)
     listed = cut(rules.select("host", "path", "verdict").distinct().withColumn("rule_id", F.xxhash64("host", "path", "verdict")))
     parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     parsed = cut(parsed)

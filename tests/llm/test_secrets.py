@@ -1,0 +1,49 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from gridloom.llm import secrets
+
+HEX = hashlib.sha1(b"a").hexdigest()
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_expression_is_the_forest(spark, model):
+    rows = secrets.labelled_findings(spark).withColumn("f", secrets.features(F.col("before"), F.col("candidate"), F.col("behind")))
+    rows = rows.select("label", "f.*", secrets.votes(model, F.col("f")).alias("mine"))
+    got = model.transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(rows)).select("label", "mine", "prediction", "features").collect()
+    for r in got[::40]:
+        assert r.mine == pytest.approx(sum(t.predict(r.features) for t in model.trees) / len(model.trees))
+    assert sum((r.mine > 0.5) == r.label for r in got) > 0.98 * len(got)
+
+
+def test_findings(spark, model):
+    texts = [
+        f'de la token = "{HEX}" la casa', f"commit {HEX} was fine", "see /usr/share/library/module/name.html there", None, "", "short",
+        f'api_key = "{HEX}" and api_key = "{HEX}"', "a" * 50_000, f"{HEX}", "nichtchzulicheinwortschatz und thonatheoneseaen", f"TOKEN!! =!! \"{HEX.upper()}\"!!",
+        'password = "your-token-goes-here"', f"é password: {HEX[:32]}\nx", "word " * 40_000 + f'secret="{HEX}"',
+    ]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[0], 2), (0, texts[0], 1)], "doc_id long, text string, n_secrets int")
+    got = secrets.findings(docs, model).collect()
+    assert len(got) == len(texts) + 2
+    by = {r.doc_id: r for r in got}
+    assert {d: r.n_secrets for d, r in by.items() if r.n_secrets} == {0: 1, 6: 2, 10: 1, 12: 1, 13: 1, None: 1}
+    for i, t in enumerate(texts):
+        found = re.findall(r"[A-Za-z0-9+/=_.\-]{16,}", t or "")
+        assert by[i].n_candidates == len(found)
+        clean = t
+        for s in by[i].secrets:
+            clean = clean.replace(s, secrets.MASK)
+        assert by[i].cleaned == clean
+    out = secrets.redact(docs, model)
+    assert out.columns == docs.columns and out.count() == len(got)
+    assert secrets.findings(docs.limit(0), model).collect() == []
