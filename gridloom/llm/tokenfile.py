@@ -12,6 +12,7 @@ committed like any table, on any store that Spark can write, and a lost executor
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, folder, small_batches
+from gridloom.llm.common import cut, folder, small_batches, stretches
 
 SEEK_MAGIC = b"\xb1\xea\x92\x8f"  # 0x8F92EAB1
 SEEK_FRAME, DIRECTORY_FRAME = 0x184D2A5E, 0x184D2A50
@@ -36,7 +37,7 @@ ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 SHARD = 16 << 20
 LEVEL = 3
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 class Encoder:
@@ -53,37 +54,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
+        self.seen: list[dict[str, bytes]] = [{}, {}]
+        self.older: list[dict[str, bytes]] = [{}, {}]  # those before the last turnover
         self.newline = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _known(self, seen: dict[str, bytes], parts: list[str], before: str) -> None:
-        if new := [p for p in dict.fromkeys(parts) if p not in seen]:
-            if len(seen) + len(new) > REMEMBERED:
-                seen.clear()
-                new = list(dict.fromkeys(parts))
-            seen.update(zip(new, self._encode([before + p for p in new]), strict=True))
-
-    def _line(self, parts: list[str]) -> bytes:
-        rest = parts[1:]
-        try:
-            tail = b"".join(map(self.after.__getitem__, rest))
-        except KeyError:
-            self._known(self.after, rest, " ")
-            tail = b"".join(map(self.after.__getitem__, rest))
-        self._known(self.first, parts[:1], "")
-        return self.first[parts[0]] + tail
+    def _learn(self, kind: int, parts: set[str]) -> None:
+        """Afterwards seen[kind] holds all of parts; kind 0 at a line's start, 1 behind a space."""
+        seen, older = self.seen[kind], self.older[kind]
+        new = parts.difference(seen)
+        if len(seen) + len(new) > REMEMBERED:
+            seen, older, new = {}, seen, parts
+            self.seen[kind], self.older[kind] = seen, older
+        seen.update((p, older[p]) for p in new if p in older)
+        if asked := sorted(p for p in new if p not in seen):
+            seen.update(zip(asked, self._encode([" " * kind + p for p in asked]), strict=True))
+
+    @staticmethod
+    def _lines(text: str) -> list[list[str]]:
+        if " ".join(text.split()) == text.replace("\n", " "):
+            return [line.split(" ") for line in text.split("\n")]
+        return [re.split(r"(?<=\S) ", text)]
+
+    def ids_all(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian 32-bit integers."""
+        out: list[bytes] = []
+        for some in stretches(texts):
+            cut = [self._lines(t) if t else [] for t in some]
+            self._learn(0, {line[0] for lines in cut for line in lines})
+            self._learn(1, {p for lines in cut for line in lines for p in line[1:]})
+            first, rest = self.seen[0], self.seen[1].__getitem__
+            out += [self.newline.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines]) for lines in cut]
+        return out
 
     def ids(self, text: str) -> bytes:
-        """Ids of the text as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if " ".join(text.split()) == text.replace("\n", " "):
-            return self.newline.join([self._line(line.split(" ")) for line in text.split("\n")])
-        return self._line(re.split(r"(?<=\S) ", text))
+        return self.ids_all([text])[0]
+
+
+@functools.lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    """One for each Python worker: what it remembers serves all its tasks."""
+    return Encoder(path)
 
 
 def pack(frames: Iterable[tuple[int | None, bytes]], width: int = 4, limit: int = SHARD) -> Iterator[bytes]:
@@ -162,14 +175,14 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: s
     dealt = frame.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         width = 2 if max(end_id + 1, encoder.tokenizer.get_vocab_size()) <= 1 << 16 else 4
         end = struct.pack("<I", end_id)
 
         def frames() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    yield doc, encoder.ids(text.as_py() or "") + end
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.ids_all([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                    yield doc, ids + end
 
         for content in pack(frames(), width, shard):
             yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["shard"])
@@ -186,6 +199,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
     first counts the ids of the documents before it in the same shard; every frame's checksum is verified.
     """
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).filter("length > 4").select(_place(F.col("path"), 1).alias("part"), _place(F.col("path"), 2).alias("file"), "content")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
