@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridloom.cube import RasterCube
 from gridloom.operators.grid import retile
+from gridloom.ship import ship
 
 #: Kernels of more cells on an edge go through the Fourier transform.
 DIRECT = 10
@@ -116,6 +117,7 @@ def on_tiles(cube: RasterCube, function, halo: int, tile: int = 256, bands: tupl
 
     A task holds one tile at a time. Cells that aren't in the cube aren't in the result.
     """
+    ship(cube.df.sparkSession)
     names, out = cube.bands, bands or cube.bands
     time = ["t"] if cube.meta.has_time else []
     size = tile + 2 * halo
@@ -255,14 +257,17 @@ def sharpen(cube: RasterCube, fine: list[str], coarse: list[str], size: int = 5,
     time = ["t"] if cube.meta.has_time else []
     packed = F.struct(*(F.col(b).cast("double").alias(b) for b in cube.bands), "__own")
     rows = neighbours(cube, disc).groupBy("x", "y", *time).agg(F.collect_list(packed).alias("near"))  # at most the disc's cells
-    centre = F.element_at(F.filter("near", lambda n: n["__own"]), 1)
+    centre = F.try_element_at(F.filter("near", lambda n: n["__own"]), F.lit(1))
     rows = rows.withColumn("centre", centre).filter(F.col("centre").isNotNull())
 
     def difference(n: Column) -> Column:
         return sum((F.abs(F.col("centre")[b] - n[b]) for b in fine[1:]), F.abs(F.col("centre")[fine[0]] - n[fine[0]])) / (len(fine) * scale)
 
     rows = rows.withColumn("near", F.transform(F.filter("near", lambda n: n[fine[0]].isNotNull()), lambda n: F.struct(difference(n).alias("d"), *(n[b].alias(b) for b in coarse))))
-    choices = [F.filter("near", lambda n, c=c: n["d"] < c) for c in SPECTRAL_CLASSES]
+    def nearer(limit: float) -> Column:
+        return F.filter("near", lambda n: n["d"] < limit)
+
+    choices = [nearer(c) for c in SPECTRAL_CLASSES]
     chosen = F.coalesce(*(F.when(F.size(c) >= MIN_NEAR, c) for c in choices), choices[-1])
     rows = rows.withColumn("used", chosen)
     low = F.array_min(F.transform(F.filter("used", lambda n: n["d"] > 0), lambda n: n["d"]))

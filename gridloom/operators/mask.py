@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,9 +44,9 @@ def data_mask(cube: RasterCube, mask: RasterCube, pixelwise: bool = False) -> Ra
 def filter_bbox(cube: RasterCube, xmin: float, ymin: float, xmax: float, ymax: float) -> RasterCube:
     """Cells whose centres lie in the box, lower and right edges excluded; a filter on the key columns reaches the scan."""
     m = cube.meta
-    first_x, last_x = -(-(xmin - m.xmin) // m.cell_w), -(-(xmax - m.xmin) // m.cell_w) - 1
-    first_y, last_y = -(-(m.ymax - ymax) // m.cell_h), -(-(m.ymax - ymin) // m.cell_h) - 1
-    return cube.on(cube.df.filter(F.col("x").between(int(first_x), int(last_x)) & F.col("y").between(int(first_y), int(last_y))))
+    first_x, last_x = (math.ceil((edge - m.xmin) / m.cell_w - 0.5) for edge in (xmin, xmax))
+    first_y, last_y = (math.floor((m.ymax - edge) / m.cell_h - 0.5) for edge in (ymax, ymin))
+    return cube.on(cube.df.filter(F.col("x").between(first_x, last_x - 1) & F.col("y").between(first_y + 1, last_y)))
 
 
 def filter_tiles(cube: RasterCube, col_min: int, row_min: int, col_max: int, row_max: int) -> RasterCube:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.cube import RasterCube
+from gridloom.ship import ship
 
 
 class CubeArray:
@@ -77,6 +78,7 @@ def _tiled(cube: RasterCube) -> DataFrame:
 
 def run_on_tiles(cube: RasterCube, function: Callable, bands: list[str] | None = None, context: dict | None = None) -> RasterCube:
     """function(CubeArray (bands, y, x), context) on each tile and date alone; it may add and drop bands."""
+    ship(cube.df.sparkSession)
     out = list(bands or cube.bands)
     df = _tiled(cube)
     groups = ["__tx", "__ty", *(["t"] if cube.meta.has_time else [])]
@@ -86,6 +88,7 @@ def run_on_tiles(cube: RasterCube, function: Callable, bands: list[str] | None =
 
 def run_on_series(cube: RasterCube, function: Callable, bands: list[str] | None = None, context: dict | None = None) -> RasterCube:
     """function(CubeArray (t, bands, y, x), context) on each tile's whole series; it may change dates and bands."""
+    ship(cube.df.sparkSession)
     out, df = list(bands or cube.bands), _tiled(cube)
     done = df.groupBy("__tx", "__ty").applyInPandas(_wrap(function, cube.bands, out, None, True, context or {}), _schema(df, out, True, None))
     return cube.on(done, bands=tuple(out), types=())
@@ -93,6 +96,7 @@ def run_on_series(cube: RasterCube, function: Callable, bands: list[str] | None
 
 def run_on_features(cube: RasterCube, grouped: DataFrame, function: Callable, bands: list[str] | None = None, context: dict | None = None) -> DataFrame:
     """function on each feature's cells (rows of group_by_feature); rows with feature_index come back."""
+    ship(cube.df.sparkSession)
     out = list(bands or cube.bands)
     return grouped.groupBy("feature_index").applyInPandas(_wrap(function, cube.bands, out, "feature_index", cube.meta.has_time, context or {}), _schema(grouped, out, cube.meta.has_time, "feature_index"))
 

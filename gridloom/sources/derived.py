@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events_cube(spark: SparkSession, sf_dir: str) -> RasterCube:
     """x, y from the user, t the day; a band for each type of event: its mean value."""
     e = table(spark, sf_dir, "events")
-    bands = [F.round(F.avg(F.when(F.col("event_type") == b, F.col("value"))), 4).alias(b) for b in EVENT_BANDS]
+    bands = [F.avg(F.when(F.col("event_type") == b, F.col("value"))).alias(b) for b in EVENT_BANDS]
     df = e.groupBy((F.col("user_id") % 16).alias("x"), F.expr("user_id div 16").alias("y"), F.col("ts").cast("date").alias("t")).agg(*bands)
     return RasterCube(df, CubeMeta(EVENT_BANDS))
 
@@ -26,7 +26,7 @@ def events_cube(spark: SparkSession, sf_dir: str) -> RasterCube:
 def lineitem_cube(spark: SparkSession, sf_dir: str) -> RasterCube:
     """x from the supplier, y from the part, t the month of shipping; bands qty, price, disc, tax."""
     li = table(spark, sf_dir, "lineitem")
-    bands = [F.sum("l_quantity").alias("qty"), F.round(F.avg("l_extendedprice"), 4).alias("price"), F.round(F.avg("l_discount"), 6).alias("disc"), F.round(F.avg("l_tax"), 6).alias("tax")]
+    bands = [F.sum("l_quantity").alias("qty"), F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax")]
     df = li.groupBy((F.col("l_suppkey") % 10).alias("x"), (F.col("l_partkey") % 10).alias("y"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("t")).agg(*bands)
     return RasterCube(df, CubeMeta(("qty", "price", "disc", "tax")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.cube import RasterCube
 from gridloom.meta import CubeMeta
 from gridloom.operators.grid import z_order
+from gridloom.ship import ship
 
 
 def _file(spark: SparkSession, path: str):
@@ -74,6 +75,7 @@ def load_files(spark: SparkSession, pattern: str, decode, schema: str, kind: str
     """Cells of raster files: decode(bytes) -> pandas rows of `schema` (without t) for each file, read once; t from the path."""
     import pandas as pd
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(pattern).select("content", path_date(F.col("path"), kind).alias("t"))
 
     def run(batches):

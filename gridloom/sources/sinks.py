@@ -37,7 +37,7 @@ def rendered(cube: RasterCube, low: float, high: float, alpha: bool = True) -> D
     """Bands as 1..255 (0 for missing), and an alpha band that is 0 where all are missing."""
     def level(b: str):
         scaled = 1 + F.rint((F.least(F.greatest(F.col(b), F.lit(low)), F.lit(high)) - low) / (high - low) * 254)
-        return F.coalesce(scaled.cast("smallint"), F.lit(0).cast("smallint")).alias(b)
+        return F.when(F.col(b).isNull(), 0).otherwise(scaled).cast("smallint").alias(b)
 
     extra = [F.when(F.coalesce(*cube.bands).isNull(), 0).otherwise(255).cast("smallint").alias("alpha")] if alpha else []
     return cube.df.select(*cube.keys, *(level(b) for b in cube.bands), *extra)
