@@ -7,7 +7,6 @@ import contextlib
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.ship import ship
+
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`; bytes.split() splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,7 +27,6 @@ THREADS = 2
 os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
 
 _FOLDERS: set[str] = set()
-_SHIPPED: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,16 +39,7 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        _SHIPPED.add(app)
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        path = os.path.join(tempfile.mkdtemp(), "gridloom_package.zip")
-        with zipfile.ZipFile(path, "w") as out:
-            for at, _, names in os.walk(os.path.join(root, "gridloom")):
-                for name in sorted(n for n in names if n.endswith(".py")):
-                    out.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), root))
-        spark.sparkContext.addPyFile(path)
+    ship(spark)
 
 
 def scratch(spark: SparkSession) -> str:

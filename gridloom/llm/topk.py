@@ -5,8 +5,9 @@ triangle inequality |d(q, p) - d(v, p)| is a lower bound of d(q, v) for every pi
 inner product from above: 2 <q, v> = |q|^2 + |v|^2 - d(q, v)^2. In each block of candidates a query takes them in order
 of their bounds and stops when the next bound is below its k-th score; equal bounds go on, since ties count.
 
-Candidates are packed into blocks of BLOCK vectors and queries into blocks of QUERIES; every block of queries meets
-every block of candidates. Each meeting gives k rows for a query, which are merged by key with partial aggregation.
+Candidates are packed into blocks of BLOCK vectors and queries into blocks of QUERIES (some 100 KB each, so that an Arrow
+batch of block pairs stays small); every block of queries meets every block of candidates. A worker puts the candidate
+blocks that one query block meets in a batch together. Each such meeting gives k rows for a query, merged by key.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ SCALE = 256
 PIVOTS = 32
 #: Vectors read to choose the pivots from; any vectors give right bounds.
 PIVOT_SAMPLE = 2000
-BLOCK = 4096
-QUERIES = 1024
+BLOCK = 512
+QUERIES = 256
 #: Candidates scored together between two looks at the stopping rule.
 STEP = 64
 
@@ -50,7 +51,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _packed(vectors: DataFrame, dim: int, rows_each: int) -> DataFrame:
+def _packed(vectors: DataFrame, dim: int, rows_each: int, kind: str) -> DataFrame:
     """Blocks (n, ids, data): the ids and the integer matrix of up to rows_each vectors as bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +59,7 @@ def _packed(vectors: DataFrame, dim: int, rows_each: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             i, m = np.concatenate(ids), np.concatenate(mats)
-            return pa.RecordBatch.from_arrays([pa.array([len(i)], pa.int64()), pa.array([i.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["n", "ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([len(i)], pa.int64()), pa.array([i.tobytes()], pa.binary()), pa.array([m.astype(kind).tobytes()], pa.binary())], names=["n", "ids", "data"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, rows_each):
@@ -138,17 +139,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     small_batches(spark)
     rows = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     rows = cut(rows.select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col)).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")))
-    dim = rows.agg(F.max(F.size("vector"))).first()[0] or 1
+    shape = rows.agg(F.max(F.size("vector")), F.max(F.array_max(F.transform("vector", lambda x: F.abs(x))))).first()
+    dim = shape[0] or 1
+    kind = "<i4" if (shape[1] or 0) < 1 << 31 else "<i8"
     sample = rows.select("vector").limit(PIVOT_SAMPLE).collect()  # a bounded sample
     pivots = choose_pivots(np.array([[*r[0], *[0] * (dim - len(r[0]))] for r in sample], dtype=np.int64).reshape(-1, dim))
-    candidates = _packed(rows, dim, BLOCK).withColumnRenamed("ids", "c_ids").withColumnRenamed("data", "c_data").drop("n")
-    asking = cut(_packed(rows.filter("asks").coalesce(max(1, spark.sparkContext.defaultParallelism)), dim, QUERIES).drop("n"))
+    candidates = _packed(rows, dim, BLOCK, kind).withColumnRenamed("ids", "c_ids").withColumnRenamed("data", "c_data").drop("n")
+    asking = cut(_packed(rows.filter("asks").coalesce(max(1, spark.sparkContext.defaultParallelism)), dim, QUERIES, kind).drop("n"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            met: dict[bytes, list[int]] = {}
             for at in range(batch.num_rows):
-                ci, c, qi, q = (np.frombuffer(batch.column(x)[at].as_py(), np.int64) for x in ("c_ids", "c_data", "ids", "data"))
-                found = best_in_block(qi, q.reshape(-1, dim), ci, c.reshape(-1, dim), pivots, k)[:3]
+                met.setdefault(batch.column("ids")[at].as_py() + batch.column("data")[at].as_py(), []).append(at)
+            for places in met.values():
+                ci = np.concatenate([np.frombuffer(batch.column("c_ids")[i].as_py(), np.int64) for i in places])
+                c = np.concatenate([np.frombuffer(batch.column("c_data")[i].as_py(), kind) for i in places]).astype(np.int64).reshape(-1, dim)
+                qi = np.frombuffer(batch.column("ids")[places[0]].as_py(), np.int64)
+                q = np.frombuffer(batch.column("data")[places[0]].as_py(), kind).astype(np.int64).reshape(-1, dim)
+                found = best_in_block(qi, q, ci, c, pivots, k)[:3]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
     met = candidates.crossJoin(asking)  # of blocks, not rows
