@@ -28,7 +28,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
 #: Parts of texts whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -177,7 +177,11 @@ class Codec:
         out: list[bytes] = []
         for some in stretches(texts):
             cut = [self._parts(t) if t and "\0" not in t else None for t in some]
-            self._learn({p for lines in cut if lines for line in lines for p in line})
+            parts: set[str] = set()
+            for lines in cut:
+                for line in lines or ():
+                    parts.update(line)
+            self._learn(parts)
             held = self.words.__getitem__
             out += [self.newline.join([b"".join(map(held, line)) for line in lines]) if lines else self._whole(t) if t else b"" for t, lines in zip(some, cut, strict=True)]
         return out
