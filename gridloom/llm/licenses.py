@@ -15,7 +15,7 @@ from gridloom.llm.common import cut
 #: Known digests up to this number are broadcast (about 100 bytes each); beyond it the join shuffles.
 BROADCAST_KNOWN = 50_000
 #: Lines that name a holder; a wrapped sentence may well start a line with the mere word.
-COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n(©]*(copyright[ \t]*(\(c\)|©|\d{4}|by\b|:)|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT = r"^[^\p{L}\p{N}\n(©]*(copyright[ \t]*(\(c\)|©|\d{4}|by\b|:)|\(c\)|©|all rights reserved)[^\n]*$"
 #: Spellings that count as equal, applied in this order to lower-case text.
 SPELLINGS = (
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-infringement", "noninfringement"),
@@ -66,7 +66,7 @@ KNOWN = (
 
 def canonical(text: Column) -> Column:
     """Canonical lines, joined by newlines."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "")
+    out = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT, "")
     for spelling, usual in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(usual))
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from gridloom.llm import licenses
+
 WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
 
 MIXING = rf"""
@@ -95,7 +97,34 @@ with parsed as (
 select page_id, p.host, p.path, rule, coalesce(verdict, 'allow') as verdict from parsed p left join fits using (page_id)
 """
 
+
+
+def _canonical(text: str) -> str:
+    out = f"regexp_replace(lower({text}), '(?m){licenses.COPYRIGHT}', '', 'g')"
+    for spelling, usual in licenses.SPELLINGS:
+        out = f"replace({out}, '{spelling}', '{usual}')"
+    return rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+
+
+def _whole(canonical: str) -> str:
+    return f"trim(regexp_replace(replace({canonical}, chr(10), ' '), ' +', ' ', 'g'))"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN)
+
+LICENSES = f"""
+with known as (
+  select min(license) as license, canon from (select license, {_whole(_canonical("text"))} as canon from (values {_KNOWN}) k(license, text)) group by canon
+), docs as (
+  select row_number() over () as r, doc_id, {_canonical("text")} as canon from documents
+), lines as (
+  select r, string_agg(distinct license, ',' order by license) as notices from (select r, trim(unnest(string_split(canon, chr(10)))) as line from docs) join known on line = known.canon group by r
+)
+select doc_id, license, coalesce(notices, '') as notices from docs d left join known k on k.canon = {_whole("d.canon")} and k.canon <> '' left join lines using (r)
+"""
+
 SQL = {
+    "op10_license_scan": LICENSES,
     "op3_mixing": MIXING,
     "op4_topk": TOPK,
     "op7_quality": QUALITY,
