@@ -37,7 +37,7 @@ ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 SHARD = 16 << 20
 LEVEL = 3
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 class Encoder:
@@ -57,6 +57,7 @@ class Encoder:
         self.seen: list[dict[str, bytes]] = [{}, {}]
         self.older: list[dict[str, bytes]] = [{}, {}]  # those before the last turnover
         self.newline = self._encode(["\n"])[0]
+        self.marks = dict(zip(",.", self._encode([",", "."]), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -69,8 +70,13 @@ class Encoder:
             seen, older, new = {}, seen, parts
             self.seen[kind], self.older[kind] = seen, older
         seen.update((p, older[p]) for p in new if p in older)
-        if asked := sorted(p for p in new if p not in seen):
-            seen.update(zip(asked, self._encode([" " * kind + p for p in asked]), strict=True))
+        if not (asked := [p for p in new if p not in seen]):
+            return
+        # A full stop or comma behind a letter is a token of its own: the word is asked for without it.
+        ends = {p: p[-1] for p in asked if len(p) > 1 and p[-1] in self.marks and p[-2] < "\u0250" and p[-2].isalpha()}
+        words = sorted({p[:-1] if p in ends else p for p in asked}.difference(seen))
+        seen.update(zip(words, self._encode([" " * kind + p for p in words]), strict=True))
+        seen.update((p, seen[p[:-1]] + self.marks[e]) for p, e in ends.items())
 
     @staticmethod
     def _lines(text: str) -> list[list[str]]:
@@ -83,8 +89,13 @@ class Encoder:
         out: list[bytes] = []
         for some in stretches(texts):
             cut = [self._lines(t) if t else [] for t in some]
-            self._learn(0, {line[0] for lines in cut for line in lines})
-            self._learn(1, {p for lines in cut for line in lines for p in line[1:]})
+            starts, parts = set(), set()
+            for lines in cut:
+                for line in lines:
+                    starts.add(line[0])
+                    parts.update(line[1:])
+            self._learn(0, starts)
+            self._learn(1, parts)
             first, rest = self.seen[0], self.seen[1].__getitem__
             out += [self.newline.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines]) for lines in cut]
         return out
