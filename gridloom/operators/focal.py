@@ -133,8 +133,7 @@ def on_tiles(cube: RasterCube, function, halo: int, tile: int = 256, bands: tupl
         inner = ((ix >= halo) & (ix < halo + tile) & (iy >= halo) & (iy < halo + tile)).nonzero()[0]
         kept = rows.iloc[inner][["x", "y", *time]].copy()
         for b in out:
-            values = np.asarray(made[b], dtype=float)[iy[inner], ix[inner]]
-            kept[b] = pd.Series(values, index=kept.index).where(~np.isnan(values), None)
+            kept[b] = np.asarray(made[b], dtype=float)[iy[inner], ix[inner]]  # NaN becomes NULL
         return kept
 
     kinds = dict(cube.df.dtypes)

@@ -37,28 +37,28 @@ def _check(made: CubeArray, rows: int, cols: int, keep_times: bool) -> CubeArray
 
 def _wrap(function: Callable, bands: tuple[str, ...], out: list[str], group: str | None, in_time: bool, context: dict) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = int(rows["x"].min()), int(rows["y"].min())
-        cols, lines = int(rows["x"].max()) - x0 + 1, int(rows["y"].max()) - y0 + 1
-        times = sorted(rows["t"].unique()) if "t" in rows else [None]
-        at = {t: i for i, t in enumerate(times)}
+        xs, ys = rows["x"].to_numpy(), rows["y"].to_numpy()
+        x0, y0 = int(xs.min()), int(ys.min())
+        cols, lines = int(xs.max()) - x0 + 1, int(ys.max()) - y0 + 1
+        times, ti = [None], 0
+        if "t" in rows:
+            times = sorted(rows["t"].unique())
+            ti = rows["t"].map({t: i for i, t in enumerate(times)}).to_numpy()
         values = np.full((len(times), len(bands), lines, cols), np.nan, dtype=np.float32)
-        ti = rows["t"].map(at).to_numpy() if "t" in rows else np.zeros(len(rows), dtype=int)
         for i, b in enumerate(bands):
-            values[ti, i, rows["y"].to_numpy() - y0, rows["x"].to_numpy() - x0] = pd.to_numeric(rows[b]).to_numpy(dtype=float)
+            values[ti, i, ys - y0, xs - x0] = rows[b].to_numpy(dtype=float)
         made = _check(function(CubeArray(values if in_time else values[0], list(bands), times if in_time else None), context), lines, cols, in_time)
         if list(made.bands) != out:
             raise ValueError(f"bands {made.bands} instead of {out}")
         slices = made.values if made.values.ndim == 4 else made.values[None]
         labels = made.times if in_time and made.values.ndim == 4 else times
-        frames = []
+        frames = []  # NaN becomes NULL on the way back
         for t, cells in zip(labels, slices, strict=True):
             yy, xx = np.nonzero(~np.isnan(cells).all(axis=0))
             frame = {"x": xx + x0, "y": yy + y0} | ({"t": t} if "t" in rows else {})
             frame |= {b: cells[i, yy, xx].astype(float) for i, b in enumerate(out)}
             frames.append(pd.DataFrame(frame))
-        done = pd.concat(frames, ignore_index=True)
-        for b in out:
-            done[b] = done[b].astype(object).where(done[b].notna(), None)
+        done = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
         if group:
             done[group] = rows[group].iloc[0]
         return done
