@@ -113,6 +113,12 @@ def _candidates(codes: np.ndarray, keys: np.ndarray, own: int) -> Iterator[tuple
         yield i, j
 
 
+def _runs(sorted_: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(values, starts, ends) of the runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.empty(0, np.int64)
+    return sorted_[starts].tolist(), starts.tolist(), np.r_[starts[1:], len(sorted_)].tolist() if len(starts) else []
+
+
 def links(vertices: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(u, v): links whose classes are those of all pairs of vertices at least so similar.
 
@@ -150,27 +156,22 @@ def links(vertices: DataFrame, texts: DataFrame, words: int = WORDS, similarity:
             u, v = [], []
             for at, codes, keys, own in _blocks(table):
                 own_sets = [np.frombuffer(parts[int(x)].as_py(), np.uint64) for x in at]
-                root = list(range(len(at)))
-
-                def find(x: int, root=root) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
+                label = np.arange(len(at))
                 for i, j in _candidates(codes, keys, own):
-                    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                        ra, rb = find(a), find(b)
-                        if ra == rb:
-                            continue
-                        x, y = own_sets[a], own_sets[b]
-                        if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                            continue
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if both >= similarity * (len(x) + len(y) - both):
-                            root[max(ra, rb)] = min(ra, rb)
-                            u.append(vids[int(at[a])].as_py())
-                            v.append(vids[int(at[b])].as_py())
+                    order = np.argsort(i, kind="stable")
+                    i, j = i[order], j[order]
+                    for a, first, last in zip(*_runs(i), strict=True):
+                        left = j[first:last]
+                        while len(left := left[label[left] != label[a]]):
+                            b, left = int(left[0]), left[1:]
+                            x, y = own_sets[a], own_sets[b]
+                            if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                                continue
+                            both = len(np.intersect1d(x, y, assume_unique=True))
+                            if both >= similarity * (len(x) + len(y) - both):
+                                label[label == label[b]] = label[a]
+                                u.append(vids[int(at[a])].as_py())
+                                v.append(vids[int(at[b])].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     return full.mapInArrow(checked, "u binary, v binary")
