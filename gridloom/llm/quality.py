@@ -3,8 +3,8 @@
 Lines are normalised (words joined by one space, A-Z lowered, digits to 0) and hashed. For each host, a line counts
 once for each distinct text that holds it, so exact copies of one page don't make its lines common. A line is removed
 if more than max(LEAST, SHARE of the host's distinct texts) hold it. A document is depleted, and rejected, if the
-removal leaves fewer than MIN_WORDS words or less than KEEP of its words. The limits follow the host's size, so a
-larger corpus isn't cut harder than a small one. The host is the document's source; null is a host of its own.
+removal leaves less than KEEP of its words; a short document that loses one line stays. The limits follow the host's
+size, so a larger corpus isn't cut harder than a small one. The host is the document's source; null is a host of its own.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     left = F.col("n_words") - removed
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"),
-        removed.alias("removed_words"), (~_failed() & (left >= MIN_WORDS) & (left >= KEEP * F.col("n_words"))).alias("kept"),
+        removed.alias("removed_words"), (~_failed() & (left >= KEEP * F.col("n_words"))).alias("kept"),
     )
 
 
@@ -155,7 +155,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = cut(base_rules(docs, id_col, text_col, host_col))
     texts = base.withColumn("failed", _failed()).groupBy("host", "text_key").agg(F.max("n_words").alias("n_words"), F.max("failed").alias("failed"))
     left = F.col("n_words") - F.coalesce("removed", F.lit(0).cast("long"))
-    kept = texts.filter(~F.col("failed")).join(removed_lines(base), ["host", "text_key"], "left").filter((left >= MIN_WORDS) & (left >= KEEP * F.col("n_words")))
+    kept = texts.filter(~F.col("failed")).join(removed_lines(base), ["host", "text_key"], "left").filter(left >= KEEP * F.col("n_words"))
     kept = kept.select(F.col("host").alias("__host"), F.col("text_key").alias("__key"), F.col("drop").alias("__drop"))
     found = docs.withColumns({"__host": _host(F.col(host_col)), "__key": _key(F.col(text_col))}).join(kept, ["__host", "__key"])
     text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("__drop")))

@@ -80,7 +80,7 @@ with docs as (
   from docs d join words using (r) left join covered using (r) left join dups using (r) left join gone using (r)
 )
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - removed_words >= 50 and n_words - removed_words >= 0.3 * n_words as kept
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - removed_words >= 0.3 * n_words as kept
 from counted
 """
 
