@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.cube import RasterCube
-from gridloom.operators.zonal import FEATURE, rasterize
+from gridloom.operators.zonal import FEATURE, cells_in
+from gridloom.ship import ship
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -66,7 +68,7 @@ def spread(edges: DataFrame) -> DataFrame:
 def vectorize(cube: RasterCube, band: int | str = 0) -> DataFrame:
     """One row for each region: id `<yyyyMMdd_>band<n>_<i>`, value, cells, its box and its edges as line pieces.
 
-    The pieces are the borders between a region's cells and others; together they are its outline.
+    The pieces are the borders between a region's cells and others, with the region to their left; with_rings joins them.
     """
     m = cube.meta
     time = ["t"] if m.has_time else []
@@ -76,8 +78,12 @@ def vectorize(cube: RasterCube, band: int | str = 0) -> DataFrame:
     other = cells.select(F.col("x").alias("nx"), F.col("y").alias("ny"), *time, F.col("region").alias("other"))
     border = out.join(other, ["nx", "ny", *time], "left").filter("other is null or other <> region")
     left, top = m.xmin + F.col("x") * m.cell_w, m.ymax - F.col("y") * m.cell_h
-    x0, x1 = F.when(F.col("dx") == 1, left + m.cell_w).otherwise(left), F.when(F.col("dx") == -1, left).otherwise(left + m.cell_w)
-    y0, y1 = F.when(F.col("dy") == 1, top - m.cell_h).otherwise(top), F.when(F.col("dy") == -1, top).otherwise(top - m.cell_h)
+    right, bottom = left + m.cell_w, top - m.cell_h
+    # Counterclockwise around each cell: up the right side, back along the top, down the left, on along the bottom.
+    x0 = F.when((F.col("dx") == 1) | (F.col("dy") == -1), right).otherwise(left)
+    x1 = F.when((F.col("dx") == 1) | (F.col("dy") == 1), right).otherwise(left)
+    y0 = F.when((F.col("dx") == 1) | (F.col("dy") == 1), bottom).otherwise(top)
+    y1 = F.when((F.col("dx") == 1) | (F.col("dy") == -1), top).otherwise(bottom)
     pieces = border.groupBy("region").agg(F.count("*").alias("edges"), F.collect_list(F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))).alias("outline"))
     size = cells.groupBy("region", "value", *time).agg(
         F.count("*").alias("cells"), (m.xmin + F.min("x") * m.cell_w).alias("xmin"), (m.ymax - (F.max("y") + 1) * m.cell_h).alias("ymin"),
@@ -87,11 +93,54 @@ def vectorize(cube: RasterCube, band: int | str = 0) -> DataFrame:
     return size.join(pieces, "region").withColumn("id", name)
 
 
+def trace(pieces: list) -> list[list[list[float]]]:
+    """Rings of directed pieces (x0, y0, x1, y1) with the region to their left: the outer ring first, then holes.
+
+    Where two rings touch, a ring turns left, around its own cell. Corners only; a ring ends where it starts.
+    """
+    ahead: dict[tuple, list[tuple]] = {}
+    for x0, y0, x1, y1 in pieces:
+        ahead.setdefault((x0, y0), []).append((x1, y1))
+    rings = []
+    while ahead:
+        start = next(iter(ahead))
+        ring, at, way = [], start, None
+        while at in ahead:
+            ends = ahead[at]
+            if way is not None and len(ends) > 1:
+                ends.sort(key=lambda p: way[0] * (p[1] - at[1]) - way[1] * (p[0] - at[0]))
+            end = ends.pop()
+            if not ends:
+                del ahead[at]
+            step = (end[0] - at[0], end[1] - at[1])
+            if way is None or way[0] * step[1] != way[1] * step[0] or way[0] * step[0] < 0 or way[1] * step[1] < 0:
+                ring.append(at)
+            at, way = end, step
+            if at == start:
+                break
+        first = (ring[1][0] - ring[0][0], ring[1][1] - ring[0][1]) if len(ring) > 1 else (0, 0)
+        if way[0] * first[1] == way[1] * first[0]:
+            ring = ring[1:]  # the start lies on a side
+        rings.append([list(p) for p in [*ring, ring[0]]])
+    area = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:], strict=False))
+    return sorted(rings, key=area, reverse=True)
+
+
+def with_rings(features: DataFrame) -> DataFrame:
+    """Rows of vectorize with `rings`: the outer ring and the holes of each region."""
+    ship(features.sparkSession)
+
+    @F.pandas_udf("array<array<array<double>>>")
+    def rings(outlines: pd.Series) -> pd.Series:
+        return outlines.map(lambda o: trace([(p["x0"], p["y0"], p["x1"], p["y1"]) for p in o]))
+
+    return features.withColumn("rings", rings("outline"))
+
+
 def to_geojson(features: DataFrame, crs: str = "grid") -> DataFrame:
-    """One JSON text for each row of vectorize."""
-    line = F.transform("outline", lambda p: F.array(F.array(p["x0"], p["y0"]), F.array(p["x1"], p["y1"])))
-    made = F.struct(F.lit("Feature").alias("type"), "id", F.struct("value", "cells").alias("properties"), F.array("xmin", "ymin", "xmax", "ymax").alias("bbox"), F.struct(F.lit("MultiLineString").alias("type"), line.alias("coordinates")).alias("geometry"), F.lit(crs).alias("crs"))
-    return features.select(F.to_json(made).alias("feature"))
+    """One JSON text, a polygon feature with box and reference system, for each row of vectorize."""
+    made = F.struct(F.lit("Feature").alias("type"), "id", F.struct("value", "cells").alias("properties"), F.array("xmin", "ymin", "xmax", "ymax").alias("bbox"), F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates")).alias("geometry"), F.lit(crs).alias("crs"))
+    return with_rings(features).select(F.to_json(made).alias("feature"))
 
 
 def euclidean_distance(cube: RasterCube, points: DataFrame, limit: int = 100_000) -> RasterCube:
@@ -155,8 +204,6 @@ def vector_to_raster(features: DataFrame, cells: DataFrame, meta) -> DataFrame:
 
 
 def burnt_cells(features: DataFrame, cells: DataFrame, meta) -> DataFrame:
-    from gridloom.operators.zonal import cells_in
-
     return cells_in(RasterCube(cells.select("x", "y"), meta.of(bands=(), has_time=False)), features.select("feature_index", "xmin", "ymin", "xmax", "ymax", "ring"))
 
 
@@ -185,5 +232,3 @@ def features_of_wkt(spark: SparkSession, texts: list[str]) -> DataFrame:
             rows.append((i, min(xs), min(ys), max(xs), max(ys), ring))
     return spark.createDataFrame(rows, FEATURE)
 
-
-__all__ = ["regions", "spread", "vectorize", "to_geojson", "euclidean_distance", "cost_distance", "read_geojson", "vector_to_raster", "parse_wkt", "features_of_wkt", "rasterize"]
