@@ -28,12 +28,19 @@ LEAST_BLOCK = 256
 #: Ranges of the shuffle key in which running sums are taken apart (3 hex digits).
 DIGITS = 3
 GOLDEN = 0.6180339887498949
+#: Tables of sources up to this number of rows (about 60 bytes each) are broadcast.
+BROADCAST_SOURCES = 50_000
 
 
 def _text_key(text: Column) -> Column:
     return F.coalesce(F.md5(text.cast("binary")), F.lit("-"))
 
 
+def small(listed: DataFrame) -> DataFrame:
+    """Broadcast a table with a row for each source if there are few; else the join shuffles."""
+    return F.broadcast(listed) if listed.count() <= BROADCAST_SOURCES else listed
+
+
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, shuffle, text_key) for every row; a null text has size 0."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
@@ -90,7 +97,7 @@ def schedule(goals: DataFrame) -> DataFrame:
     cell = F.floor(F.col("point") * 64)
     ranges = cuts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * 64), F.least(F.floor(F.col("high") * 64), F.lit(63)))))
     slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", cell)
-    hit = slots.join(F.broadcast(ranges), "cell").filter("point >= low and (point < high or high >= 1.0)").select("slot", "ord")
+    hit = slots.join(small(ranges), "cell").filter("point >= low and (point < high or high >= 1.0)").select("slot", "ord")
     hit = hit.groupBy("slot").agg(F.min("ord").alias("ord"))
     missed = goals.filter("words > 0").join(hit.select("ord").distinct(), "ord", "left_anti").select((F.lit(n) + F.col("ord")).cast("long").alias("slot"), "ord")
     hit = cut(hit.unionByName(missed).withColumn("part", F.floor(F.col("slot") / 4096)))
@@ -107,7 +114,7 @@ def placed(sized: DataFrame, goals: DataFrame) -> DataFrame:
     Running sums are taken within ranges of the shuffle key, on top of the sums of the ranges before, so that a
     source with a third of all rows isn't sorted in one task.
     """
-    rows = sized.join(F.broadcast(goals), sized["source"].eqNullSafe(goals["source"])).select("doc_id", sized["source"], "size", "shuffle", "text_key", "ord", "source_size", "target", "words")
+    rows = sized.join(small(goals), sized["source"].eqNullSafe(goals["source"])).select("doc_id", sized["source"], "size", "shuffle", "text_key", "ord", "source_size", "target", "words")
     rows = rows.withColumn("range", F.substring("shuffle", 1, DIGITS))
     sums = rows.groupBy("ord", "range").agg(F.sum("size").alias("n"))
     sums = sums.select("ord", "range", (F.sum("n").over(W.partitionBy("ord").orderBy("range")) - F.col("n")).alias("base"))
@@ -130,7 +137,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = cut(placed(sized, goals).withColumn("row", F.monotonically_increasing_id()))
     slots = cut(schedule(goals))
     counts = slots.groupBy("ord").agg(F.max("slots").alias("slots"))
-    laid = rows.filter("size > 0 and words > 0").join(F.broadcast(counts), "ord")
+    laid = rows.filter("size > 0 and words > 0").join(small(counts), "ord")
     laid = laid.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("begin", F.col("start") + F.col("epoch") * F.col("source_size"))
     laid = laid.withColumn("end", F.least(F.col("begin") + F.col("size"), "words")).filter("begin < end")
     # Block r of a source holds the words from floor(r * words / slots) on.

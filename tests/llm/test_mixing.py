@@ -64,3 +64,10 @@ def test_schedule_keeps_shares_in_every_stretch(spark):
 def test_empty(spark):
     assert mixing.taken(make(spark, [])).collect() == []
     assert [r.taken for r in mixing.taken(make(spark, [(1, None, None)])).collect()] == [0]
+
+
+def test_many_sources_shuffle(spark, monkeypatch):
+    docs = make(spark, [(i, "w " * (i % 7 * 40), f"s{i % 23}") for i in range(200)])
+    want = sorted(map(str, mixing.taken(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.taken(docs).collect())) == want
