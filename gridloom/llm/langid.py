@@ -28,6 +28,8 @@ LANDMARKS = 400
 RIDGE = 1e-3
 #: Code points hashed at once, and texts in one matrix product.
 STRETCH, BATCH = 1 << 20, 64
+#: Texts of which training holds floating vectors at once (128 KB each), besides those of the landmarks.
+STEP = 256
 
 
 @functools.lru_cache(1)
@@ -86,15 +88,18 @@ def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: flo
         return Model([], np.zeros((BUCKETS, 0), dtype=np.float32))
     own = {lang: [i for i, y in enumerate(labels) if y == lang] for lang in languages}
     chosen = sorted(i for rows in own.values() for i in rows[: max(1, landmarks // len(languages))])
-    x = x.astype(np.float32) / np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
-    z = x[chosen]
-    knm, kmm = (x @ z.T).astype(np.float64), (z @ z.T).astype(np.float64)
+    size = np.sqrt(np.maximum(1, x.sum(axis=1))).astype(np.float32)[:, None]
+    z = x[chosen].astype(np.float32) / size[chosen]
+    knm = np.empty((len(x), len(chosen)))
+    for at in range(0, len(x), STEP):  # a few texts in floating numbers at a time
+        knm[at : at + STEP] = (x[at : at + STEP].astype(np.float32) @ z.T) / size[at : at + STEP]
+    kmm = knm[chosen]
     # Each language weighs as much as the rest against which it is set, however rare.
     share = np.array([1 / len(own[y]) for y in labels])[:, None]
     y = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
     left = knm.T @ (share * knm) + ridge * kmm + 1e-9 * np.eye(len(chosen))
     alpha = np.linalg.solve(left, knm.T @ (share * y))
-    return Model(languages, (z.T.astype(np.float64) @ alpha).astype(np.float32))
+    return Model(languages, z.T @ alpha.astype(np.float32))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
