@@ -1,11 +1,13 @@
 """Near-duplicate documents by SimHash, down to a similarity of 0.8 in 5-word shingles.
 
-At that similarity fingerprints differ in about 10 of 64 bits, and up to 20 have to be looked at: too many for blocks of
-equal bits. Fingerprints meet instead in blocks of texts that share the least shingle under one of KEYS hash orders;
+Fingerprints are taken over the distinct shingles, as the similarity is, so that repeats don't count. At 0.8 they differ
+in about 10 of 64 bits (12 for sets of 4 and 5 shingles, the worst case: a bit differs with probability 3/16), and up to
+28 are looked at, beyond which a pair of 0.8 is missed with 1.1 in a million at most (binomial tail). That is too many
+for blocks of equal bits. Fingerprints meet instead in blocks of texts that share the least shingle under one of KEYS hash orders;
 texts of similarity s agree in each order with probability s, so a pair of 0.8 is missed in all of 8 with 3 in a
-million. In a block the Gray-order index of the fingerprints (grayindex) finds the pairs within RADIUS bits; a pair is
-left to the first block that it shares. Only texts that have such a pair send their shingles, and the pairs are checked
-by the Jaccard similarity of the shingle sets, but for pairs that are joined already. A block of more than BLOCK texts is
+million (4 with the fingerprints). In a block the Gray-order index of the fingerprints (grayindex) finds the pairs within
+RADIUS bits; a pair is left to the first block that it shares. Only texts that have such a pair send their shingles, and
+the pairs are checked by the Jaccard similarity of the shingle sets, but for pairs that are joined already. A block of more than BLOCK texts is
 dealt again by the other keys. Classes of all blocks are joined by stars (graph).
 """
 
@@ -24,7 +26,7 @@ from gridloom.llm.graph import components
 from gridloom.llm.grayindex import GrayIndex, gray_rank
 from gridloom.llm.simhash import LEAF, fingerprint, hashes, shingles
 
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 20
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 28
 KEYS = 8
 BLOCK = 20_000
 #: Times a block is dealt again at most; blocks of that depth are taken whole.
@@ -36,10 +38,13 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.md5(text.cast("binary")), F.lit("-"))
 
 
-def _unique(text: bytes | None, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(all shingle hashes as rows of bytes, the sorted distinct hashes)."""
-    all_ = hashes(shingles(text, words))
-    return all_, np.unique(np.ascontiguousarray(all_).view(">u8").ravel().astype(np.uint64))
+def _unique(text: bytes | None, words: int) -> np.ndarray:
+    """The sorted distinct shingle hashes."""
+    return np.unique(hashes(shingles(text, words)).view(">u8").ravel().astype(np.uint64))
+
+
+def set_fingerprint(distinct: np.ndarray) -> int:
+    return fingerprint(distinct.astype(">u8").view(np.uint8).reshape(-1, 8))
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
@@ -52,8 +57,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS)
             vids, fps, least, sizes = [], [], [], [0]
             for text in raw(batch.column("text")):
                 vids.append(xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split())))
-                all_, distinct = _unique(text, words)
-                fps.append(fingerprint(all_))
+                distinct = _unique(text, words)
+                fps.append(set_fingerprint(distinct))
                 if len(distinct):
                     for odd in _ODD[:KEYS]:
                         mixed = distinct * odd
@@ -144,7 +149,7 @@ def links(vertices: DataFrame, texts: DataFrame, words: int = WORDS, similarity:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_unique(t, words)[1].tobytes() for t in raw(batch.column("text"))]
+            found = [_unique(t, words).tobytes() for t in raw(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array(found, pa.binary())], names=["vid", "parts"])
 
     held = held.select("vid", "text").mapInArrow(sets, "vid binary, parts binary")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from math import comb
 
 from gridloom.llm import similar
 
@@ -67,3 +68,19 @@ def test_repeated_rows_and_null_ids(spark):
     assert run(spark, [(5, "a b c"), (5, "a b c"), (5, "x y z"), (None, "p q r"), (None, "p q r"), (7, "p q r")]) == [5, 5, 7]
     assert run(spark, [(None, "p q r"), (None, "p q r")]) == [None]
     assert run(spark, []) == []
+
+
+def test_repeats_do_not_part_equal_sets(spark):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(20):
+        ring, rest = [f"r{k}x{i}" for i in range(5)], [f"w{rnd.randrange(10**6)}" for _ in range(95)]
+        rows += [(2 * k, " ".join(ring * 2 + rest)), (2 * k + 1, " ".join(ring * 11 + rest))]
+        assert sets(rows[-1][1]) == sets(rows[-2][1])
+    assert run(spark, rows) == sorted(range(0, 40, 2), key=str)
+
+
+def test_miss_rate_of_the_radius():
+    # Sets of 4 and 5 shingles: the majorities differ if 2 of 4 bits are set and the fifth is.
+    p = comb(4, 2) / 2**4 / 2
+    assert sum(comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(similar.RADIUS + 1, 65)) < 1.1e-6
