@@ -1,6 +1,7 @@
 """Secret scans with a random forest for false-positive removal, in DataFrame functions only.
 
-Candidates are runs of 16 or more characters of keys, paths and encoded data. Their features are length, character
+Candidates are runs of 16 or more characters of keys, paths and encoded data, of 8 or more right behind a word that names
+a secret, and private keys in PEM as a whole. A run before `=` and a value is the value's name, not a candidate. Features are length, character
 classes and transitions between classes, distinct characters, coverage by dictionary words, signs of a path, and the
 neighbouring words. A random forest is trained on labelled findings; its trees are written out as one expression, so
 that a scan is a projection without join, shuffle or Python.
@@ -15,7 +16,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"[A-Za-z0-9+/=_.\-]{16,}+"
+_RUN = r"[A-Za-z0-9+/_.\-]"
+_NAMES = r"(?i:token|secret|passw(?:or)?d|pwd|api.?key|access.?key|private.?key|signing.?key|credential)"
+_PEM_BREAK = r"(?:\s|\\[nr]){1,4}"
+#: The header, full lines, and the last line and the end line if they are there.
+PEM = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_PEM_BREAK}[A-Za-z0-9+/=]{{16,76}}+){{0,200}}+(?:{_PEM_BREAK}[A-Za-z0-9+/=]{{1,15}}+(?={_PEM_BREAK}-----END))?(?:{_PEM_BREAK}-----END [A-Z ]{{0,30}}PRIVATE KEY-----)?"
+CANDIDATE = rf"(?<!{_RUN})(?:{PEM}|(?:{_RUN}{{16,}}+|(?<=[:=]\s{{0,1}}[\"'`]{{0,1}})(?<={_NAMES}\W{{1,4}}){_RUN}{{8,}}+)(?!=+[\"'`]?{_RUN})={{0,2}})"
 #: Characters of context looked at before and behind a candidate.
 BEFORE, BEHIND = 48, 8
 MASK = "[SECRET]"
@@ -35,8 +41,10 @@ DICTIONARY = (
     "network node note null number object open option order other output page parent path people place plugin point post print process product"
 ).split()
 KEY_WORDS = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api.?key|apikey|access.?key|private.?key|auth|credential|bearer|signing.?key)\W{0,4}\w{0,12}\W{0,6}$"
+#: Keys that show by themselves what they are.
+KNOWN_KEYS = r"^(-----BEGIN |(AKIA|ASIA)[A-Z0-9]{16}$|gh[opsur]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w\-]{20,}|xox[abprs]-[\w\-]{20,}|AIza[\w\-]{35}$|sk[-_](live_|test_|proj-)?[A-Za-z0-9]{20,})"
 PLAIN_WORDS = r"(?i)(commit|sha.?\d*|md5|hash|checksum|digest|revision|uuid|guid|etag|integrity|build|version|example|placeholder|see|file|path)\W{0,8}$"
-FEATURES = ("length", "digits", "uppers", "lowers", "signs", "hexadecimal", "transitions", "distinct", "dictionary", "slashes", "dots", "path", "key_word", "plain_word", "assigned", "quoted")
+FEATURES = ("length", "digits", "uppers", "lowers", "signs", "hexadecimal", "transitions", "distinct", "dictionary", "slashes", "dots", "path", "key_word", "plain_word", "assigned", "quoted", "known_key")
 
 
 def features(before: Column, candidate: Column, behind: Column) -> Column:
@@ -69,6 +77,7 @@ def features(before: Column, candidate: Column, behind: Column) -> Column:
         "plain_word": flag(before.rlike(PLAIN_WORDS)),
         "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
         "quoted": flag(before.rlike(r"[\"'`]$") & behind.rlike(r"^[\"'`]")),
+        "known_key": flag(candidate.rlike(KNOWN_KEYS)),
     }
     return F.struct(*(made[n].cast("double").alias(n) for n in FEATURES))
 
@@ -76,7 +85,8 @@ def features(before: Column, candidate: Column, behind: Column) -> Column:
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     """(before, candidate, behind, label): a fixed set of n findings, half of them secrets.
 
-    Secrets are random keys of common shapes behind words that name them; false positives are digests, paths, long
+    Secrets are random keys of common shapes behind words that name them, quoted or not, shorter passwords there, and keys
+    of known prefixes and private keys in PEM without such words; false positives are digests, paths, long
     words, identifiers, placeholders, numbers and versions in the places where they are usual.
     """
     row = spark.range(n).select("id", (F.col("id") % 2).cast("double").alias("label"), F.floor(F.col("id") / 2).alias("k"))
@@ -94,19 +104,29 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     def word(at: int) -> Column:
         return F.element_at(words, F.conv(F.substring(hexed, at * 4 + 1, 4), 16, 10).cast("int") % len(DICTIONARY) + 1)
 
-    secret = pick(F.substring(hexed, 1, 40), F.substring(hexed, 1, 32), F.substring(hexed, 1, 64), F.substring(mixed, 1, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(mixed, "[^A-Za-z0-9]", "x"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(mixed, "[^A-Za-z0-9]", "x"), 1, 36)), F.concat(F.lit("sk-"), F.substring(F.regexp_replace(mixed, "[+/]", "Z"), 1, 44)), F.upper(F.substring(hexed, 1, 40)), F.substring(mixed, 1, 86))
-    named = pick('token = "', "token: ", 'api_key = "', "apikey=", 'secret="', 'password = "', "Authorization: Bearer ", 'access_key: "', "PRIVATE_KEY=", 'auth_token = "', 'TOKEN!! =!! "', 'client_secret: "', 'token = "')
-    plain = pick(F.substring(hexed, 1, 40), F.substring(hexed, 1, 64), F.concat_ws("/", F.lit(""), word(0), word(1), word(2), F.concat(word(3), F.lit(".html"))), F.concat(word(0), word(1), word(2), word(3)), F.concat_ws("_", word(0), word(1), word(2), word(3)), F.concat_ws(".", F.lit("www"), F.concat(word(0), word(1)), F.lit("example"), F.lit("com")), F.lit("xxxxxxxxxxxxxxxxxxxxxxxx"), F.concat(F.substring(F.translate(hexed, "abcdef", "123456"), 1, 16)), F.concat_ws("-", F.substring(hexed, 1, 8), F.substring(hexed, 9, 4), F.substring(hexed, 13, 4), F.substring(hexed, 17, 4), F.substring(hexed, 21, 12)), F.regexp_replace(F.substring(low, 1, 24), "[0-9+/]", "e"), F.lit("========================"), F.lit("your-token-goes-here"), F.concat(word(0), F.lit("-"), word(1), F.lit("..."), word(2), word(3)))
-    around = pick("in commit ", "sha256: ", "the file ", "see ", "checksum = ", "", "and the ", "md5 ", "of ", 'href="', "id: ", "version ", "uuid ")
+    # Long words that no dictionary holds, as German has them.
+    syllables = F.array(*map(F.lit, "er sch ti on ver heit la mo ne ing ber tz ra un de lich".split()))
+    long_word = F.concat(*(F.element_at(syllables, F.conv(F.substring(hexed, 40 + at, 1), 16, 10).cast("int") + 1) for at in range(8)))
+    secret = pick(F.substring(hexed, 1, 40), F.substring(hexed, 1, 32), F.substring(hexed, 1, 64), F.substring(mixed, 1, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(F.regexp_replace(mixed, "[^A-Za-z0-9]", "x"), 1, 16))), F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(mixed, "[^A-Za-z0-9]", "x"), 1, 36)), F.concat(F.lit("sk-"), F.substring(F.regexp_replace(mixed, "[+/]", "Z"), 1, 44)), F.upper(F.substring(hexed, 1, 40)), F.substring(mixed, 1, 86), F.concat(F.substring(mixed, 1, 43), F.lit("=")), F.concat(F.substring(mixed, 1, 22), F.lit("==")))
+    named = pick('token = "', "token: ", 'api_key = "', "apikey=", 'secret="', 'password = "', "Authorization: Bearer ", 'access_key: "', "PRIVATE_KEY=", 'auth_token = "', 'TOKEN!! =!! "', 'client_secret: "', 'token = "', "API_KEY=", "export AWS_SECRET_ACCESS_KEY=", "GITHUB_TOKEN=", "?access_token=", "DB_PASSWORD=", "password: ")
+    plain = pick(F.substring(hexed, 1, 40), F.substring(hexed, 1, 64), F.concat_ws("/", F.lit(""), word(0), word(1), word(2), F.concat(word(3), F.lit(".html"))), F.concat(word(0), word(1), word(2), word(3)), F.concat_ws("_", word(0), word(1), word(2), word(3)), F.concat_ws(".", F.lit("www"), F.concat(word(0), word(1)), F.lit("example"), F.lit("com")), F.lit("xxxxxxxxxxxxxxxxxxxxxxxx"), F.concat(F.substring(F.translate(hexed, "abcdef", "123456"), 1, 16)), F.concat_ws("-", F.substring(hexed, 1, 8), F.substring(hexed, 9, 4), F.substring(hexed, 13, 4), F.substring(hexed, 17, 4), F.substring(hexed, 21, 12)), F.regexp_replace(F.substring(low, 1, 24), "[0-9+/]", "e"), F.lit("========================"), F.lit("your-token-goes-here"), F.concat(word(0), F.lit("-"), word(1), F.lit("..."), word(2), word(3)), long_word, F.initcap(long_word), F.initcap(long_word), F.upper(long_word))
+    around = pick("in commit ", "sha256: ", "the file ", "see ", "checksum = ", "", "and the ", "md5 ", "of ", 'href="', "id: ", "version ", "uuid ", "BUILD_ID=", "VERSION=", "CHECKSUM=", "?page=", "&name=")
     prose = pick("of the ", "and then. ", "la casa de ", "und der ", "line ", "\n", "a ")
     before = F.concat(prose, F.when(F.col("label") == 1, named).otherwise(around))
     behind = F.when(before.endswith('"'), F.lit('" and so')).otherwise(pick(" and", "\n", ".", ", the", ""))
     # A placeholder stays one behind the words that name a secret.
     fake = pick(F.lit("xxxxxxxxxxxxxxxxxxxx"), F.lit("your-token-goes-here"), F.concat_ws("_", F.lit("change"), word(0), word(1), word(2)), F.concat(word(0), word(1), word(2), word(3)))
     teaser = (F.col("label") == 0) & (F.col("k") % 8 == 0)
+    letters = F.regexp_replace(mixed, "[^A-Za-z0-9]", "x")
+    pem = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.substring(mixed, 1, 64), F.lit("\n"), F.substring(mixed, 20, 64), F.lit("\n-----END RSA PRIVATE KEY-----"))
+    known = pick(F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("sk-"), F.substring(letters, 1, 44)), F.concat(F.lit("glpat-"), F.substring(letters, 1, 20)), pem)
+    bare = (F.col("label") == 1) & (F.col("k") % 8 == 1)
+    # Short passwords, and plain words in their place.
+    short = F.when(F.col("label") == 1, pick(F.substring(letters, 1, 10), F.substring(letters, 1, 12), F.substring(hexed, 1, 12))).otherwise(pick("required", "changeme", "optional", F.concat(word(0), word(1)), F.concat(word(0), F.lit("_"), word(1)), "undefined", "configured"))
+    brief = F.col("k") % 8 == 2
     return row.select(
-        F.when(teaser, F.concat(prose, named)).otherwise(before).alias("before"),
-        F.when(F.col("label") == 1, secret).when(teaser, fake).otherwise(plain).alias("candidate"), behind.alias("behind"), "label",
+        F.when(teaser | brief, F.concat(prose, named)).when(bare, prose).otherwise(before).alias("before"),
+        F.when(brief, short).when(bare, known).when(F.col("label") == 1, secret).when(teaser, fake).otherwise(plain).alias("candidate"), behind.alias("behind"), "label",
     )
 
 
@@ -141,6 +161,9 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, text_col: str
 
     def described(candidate: Column, i: Column) -> Column:
         before, behind = F.element_at("__gaps", (i + 1).cast("int")), F.element_at("__gaps", (i + 2).cast("int"))
+        # The text before goes on in the candidate before, which may be the name, and in what stands before that.
+        last = F.concat(F.right(F.element_at("__gaps", F.greatest(i, F.lit(1)).cast("int")), F.lit(BEFORE)), F.right(F.element_at("__all", F.greatest(i, F.lit(1)).cast("int")), F.lit(BEFORE)))
+        before = F.when((i > 0) & (F.length(before) < BEFORE), F.concat(last, before)).otherwise(before)
         return F.struct(candidate.alias("candidate"), features(F.right(before, F.lit(BEFORE)), candidate, F.left(behind, F.lit(BEHIND))).alias("f"))
 
     rows = rows.withColumn("__described", F.when(some, F.transform("__all", described)))
