@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import small_batches
@@ -106,8 +106,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model from a bounded sample of the labelled rows that aren't held out.
 
     Rows are drawn by a hash of id and text, so that reruns agree, with a rate for each language that keeps about twice
-    SAMPLE of them; texts become presence vectors on the executors, and at most SAMPLE_ALL such vectors (4 KB each) come
-    to the driver.
+    SAMPLE of them; texts become presence vectors on the executors. Of each language those with the least draws are
+    taken, SAMPLE or an equal share of SAMPLE_ALL at most, so at most SAMPLE_ALL such vectors (4 KB each) come to the driver.
     """
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -131,13 +131,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(draws, pa.float64()), pa.array(bits, pa.binary())], names=["lang", "draw", "bits"])
 
     sample = drawn.select("lang", "draw", "text").mapInArrow(vectors, "lang string, draw double, bits binary")
-    found = sample.orderBy("draw", "lang", "bits").limit(SAMPLE_ALL).collect()
-    taken: dict[str, int] = {}
-    kept = []
-    for r in found:
-        taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= each:
-            kept.append(r)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "bits"))
+    kept = sample.withColumn("place", place).filter(F.col("place") <= each).orderBy("draw", "lang", "bits").collect()
     x = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in kept], dtype=bool).reshape(-1, BUCKETS)
     return fit(x, [r.lang for r in kept])
 

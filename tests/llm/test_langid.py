@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridloom.llm import langid
 
@@ -59,3 +60,17 @@ def test_scores_are_kernel_ridge_regression():
     folded = x.astype(np.float32) @ model.weights / np.sqrt(size)[:, None]
     assert np.allclose(folded, k @ alpha, atol=1e-3)
     assert (np.array(model.languages)[folded.argmax(axis=1)] == np.array(labels)).all()
+
+
+def test_rare_languages_keep_their_share(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 60)
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice(WORDS[x]) for _ in range(20)), x) for i, x in enumerate(["en"] * 900 + ["de"] * 900 + ["fr"] * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    real = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, labels: seen.extend(labels) or real(x, labels))
+    langid.train(docs)
+    free = [r.n for r in docs.filter(~langid.held_out(docs.doc_id)).groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()]
+    assert [seen.count(x) for x in ("de", "en", "fr")] == [min(20, n) for n in free] and free[2] < 20
