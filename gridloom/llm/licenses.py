@@ -7,6 +7,9 @@ digests of known licenses and notices; nothing is searched within a line, so a m
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,11 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
+#: Whole texts, a file for each license, named by its SPDX id.
+TEXTS = Path(__file__).parent / "license_texts"
+TITLES = {"BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License")}
+#: Where the advice on how to use a license begins, which is often left out.
+APPENDICES = ("APPENDIX: How to apply", "How to Apply These Terms")
 
 
 def canonical(text: Column) -> Column:
@@ -76,8 +84,24 @@ def whole(canon: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(canon, "\n", " "), " +", " "))
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of the whole texts in license_texts, in their usual forms: with a title, without an appendix."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem, path.read_text(encoding="utf-8")
+        out.append((name, text))
+        if name in TITLES:
+            bullets = re.sub(r"(?m)^\s*\d+\.", "*", text)
+            out += [(name, head + body) for head in ("", *(t + "\n\n" for t in TITLES[name])) for body in (text, bullets)]
+        for end in APPENDICES:
+            if end in text:
+                out.append((name, text[: text.index(end)]))
+                out.append((name, text[: text.index(end)].replace("END OF TERMS AND CONDITIONS", "")))
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    return spark.createDataFrame([*KNOWN, *whole_texts()], "license string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,3 +26,14 @@ def test_unknown_and_shuffled(spark, monkeypatch):
     assert {tuple(r) for r in licenses.scan(docs, none).collect()} == {(1, None, ""), (2, None, "")}
     monkeypatch.setattr(licenses, "BROADCAST_KNOWN", 1)
     assert {tuple(r) for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()} == {(1, "MIT", "MIT"), (2, None, "")}
+
+
+def test_whole_texts(spark):
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense"]
+    texts = [(licenses.TEXTS / f"{n}.txt").read_text() for n in names]
+    texts = ["Copyright (c) 2021 Someone\n" + t.replace("\n", "\r\n  ") for t in texts]
+    apache = texts[0][: texts[0].index("APPENDIX: How to apply")]
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2021, Someone\nAll rights reserved.\n\n" + (licenses.TEXTS / "BSD-3-Clause.txt").read_text().replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    docs = spark.createDataFrame(list(enumerate([*texts, apache, bsd, texts[0] + "\nand one more clause"])), "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(got))] == [*names, "Apache-2.0", "BSD-3-Clause", None]
