@@ -685,6 +685,13 @@ def kernel_fft(spark, sf_dir):
     return focal.apply_kernel(part, kernel).df.select("x", "y", (F.round("v", 3) + F.lit(0.0)).alias("v"))
 
 
+@query()
+def kernel_fft_whole(spark, sf_dir):
+    """The kernel of kernel_fft over the whole cube: its rows are over one tile of 256 cells beyond sf0.01."""
+    kernel = [[1 + abs(j - 6) + (i - 6) * 0.5 for j in range(13)] for i in range(13)]
+    return focal.apply_kernel(V(spark, sf_dir), kernel).df.select("x", "y", (F.round("v", 3) + F.lit(0.0)).alias("v"))
+
+
 def _at(dx: int, dy: int) -> str:
     return f"max(n.v) filter (dx = {dx} and dy = {dy})"
 
