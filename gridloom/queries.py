@@ -780,6 +780,13 @@ def closest_in_time(spark, sf_dir):
     return sensors.closest_in_time(p.filter("product % 7 = 0").select("product", "t", "tcol"), p.filter("product % 11 = 3"), "tcol", "t", "t", "price", 10)
 
 
+@query("with a as (select o_orderkey as product, o_orderdate::date as t, o_custkey % 20 as tcol from orders), b as (select l_suppkey % 20 as k, l_shipdate::date as bt, l_extendedprice as price from lineitem) select a.product, a.t, a.tcol, arg_min(price, (abs(date_diff('day', bt, a.t)), bt, price)) filter (bt is not null) as price from a left join b on k = a.tcol and abs(date_diff('day', bt, a.t)) <= 10 group by all")
+def closest_in_time_whole(spark, sf_dir):
+    """For every product the price of the shipment nearest in time, of all shipments."""
+    shipped = derived.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("tcol"), F.col("l_shipdate").cast("date").alias("t"), F.col("l_extendedprice").alias("price"))
+    return sensors.closest_in_time(derived.products(spark, sf_dir).select("product", "t", "tcol"), shipped, "tcol", "t", "t", "price", 10)
+
+
 @query(f"{L_SQL}, m as (select x // 6 as bx, y // 6 as b_y, t, avg(price) as w, avg(disc * 400000) as a, avg(qty * 1000) as r from L group by all), r as (select *, a / nullif((w + r) / 2, 0) as ratio from m), v as (select *, case when ratio is null then null when ratio >= 2 then 0.5 when ratio >= 1 then 2.0 + (ratio - 1) * (0.5 - 2.0) when ratio >= 0.25 then 5.0 + (ratio - 0.25) * ((2.0 - 5.0) / 0.75) else 5.0 end as v from r) select L.x, L.y, L.t, round(coalesce(v, avg(v) over (partition by v.t)), 6) as water_vapour from L join v on L.x // 6 = bx and L.y // 6 = b_y and L.t = v.t")
 def water_vapour(spark, sf_dir):
     cube = L(spark, sf_dir).with_bands({"w": F.col("price"), "a": F.col("disc") * 400000, "r": F.col("qty") * 1000})

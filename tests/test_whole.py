@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pytest
 
 from gridloom import queries
 from gridloom.sources import derived
 
-LARGE = "/root/testdata/sf0.1"
+SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
 def test_kernel_fft_over_several_tiles(spark):
@@ -20,3 +22,17 @@ def test_kernel_fft_over_several_tiles(spark):
     got = {(r.x, r.y): r.v for r in queries.QUERIES["kernel_fft_whole"](spark, LARGE).collect()}
     assert set(got) == set(cells)
     assert all(got[x, y] == pytest.approx(want[y, x], abs=2e-3) for x, y in got)
+
+
+def test_closest_in_time_takes_every_row(spark):
+    orders, lines = (derived.table(spark, SMALL, n).collect() for n in ("orders", "lineitem"))
+    near = defaultdict(list)
+    for r in lines:
+        day = r.l_shipdate.date() if hasattr(r.l_shipdate, "date") else r.l_shipdate
+        near[r.l_suppkey % 20].append((day, r.l_extendedprice))
+    got = {r["product"]: r.price for r in queries.QUERIES["closest_in_time_whole"](spark, SMALL).collect()}
+    assert len(got) == len(orders)
+    for o in orders:
+        t = o.o_orderdate.date() if hasattr(o.o_orderdate, "date") else o.o_orderdate
+        found = [(abs((d - t).days), d, p) for d, p in near[o.o_custkey % 20] if abs((d - t).days) <= 10]
+        assert got[o.o_orderkey] == (min(found)[2] if found else None)
