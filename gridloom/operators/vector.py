@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import json
 import re
+import struct
+import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.cube import RasterCube
-from gridloom.operators.zonal import FEATURE, cells_in
+from gridloom.operators.grid import transform
+from gridloom.operators.zonal import cells_in, polygons, touched
 from gridloom.ship import ship
 
 
 def _scratch(spark: SparkSession) -> str:
+    """The shared folder: spark.checkpoint.dir. Only a local session may do without it, in a folder of its own."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/gridloom-{uuid.uuid4().hex}")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            path = f"{tempfile.gettempdir()}/gridloom-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(path)
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
 
@@ -143,92 +153,259 @@ def to_geojson(features: DataFrame, crs: str = "grid") -> DataFrame:
     return with_rings(features).select(F.to_json(made).alias("feature"))
 
 
-def euclidean_distance(cube: RasterCube, points: DataFrame, limit: int = 100_000) -> RasterCube:
-    """Distance from each cell's centre to the nearest of the points (px, py), a listed set of at most `limit`."""
-    if points.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} points")
-    cx, cy = cube.meta.centre()
-    held = points.agg(F.collect_list(F.struct("px", "py")).alias("__p"))
-    nearest = F.array_min(F.transform("__p", lambda p: F.hypot(cx - p["px"], cy - p["py"])))
-    cells = cube.df.select("x", "y").distinct().join(F.broadcast(held))
-    return cube.on(cells.select("x", "y", nearest.alias("distance")), has_time=False, bands=("distance",), types=())
+def euclidean_distance(cube: RasterCube, points: DataFrame, block: int = 32) -> RasterCube:
+    """Distance from each cell's centre to the nearest of the points (px, py).
+
+    Points and cells meet in blocks of cells. Points of one cell nearest to its corners aren't told apart: all are kept,
+    but distinct. Cells look into the blocks around theirs, ring by ring; a cell is settled once its nearest point lies
+    nearer than the next ring can reach. Each round looks at cells that aren't settled, at double the reach.
+    """
+    m = cube.meta
+    cx, cy = m.centre()
+    px, py = m.cell_of(F.col("px"), F.col("py"))
+    at = cut(points.select("px", "py", F.floor(px / block).alias("bx"), F.floor(py / block).alias("by")).distinct())
+    edge = at.agg(F.min("bx").alias("x0"), F.max("bx").alias("x1"), F.min("by").alias("y0"), F.max("by").alias("y1")).first()
+    open_ = cut(cube.df.select("x", "y").distinct().withColumns({"bx": F.floor(F.col("x") / block), "by": F.floor(F.col("y") / block)}))
+    if edge.x0 is None:
+        return cube.on(open_.select("x", "y", F.lit(None).cast("double").alias("distance")), has_time=False, bands=("distance",), types=())
+    settled, reach = [], 1
+    while True:
+        spans = [F.sequence(F.greatest(F.col(c) - reach, F.lit(low)), F.least(F.col(c) + reach, F.lit(high))) for c, low, high in (("bx", edge.x0, edge.x1), ("by", edge.y0, edge.y1))]
+        # Blocks of cells, not cells, are repeated for the blocks they look into.
+        homes = open_.select("bx", "by").distinct()
+        homes = homes.filter((F.col("bx") + reach >= edge.x0) & (F.col("bx") - reach <= edge.x1) & (F.col("by") + reach >= edge.y0) & (F.col("by") - reach <= edge.y1))
+        seen = homes.select("bx", "by", F.explode(spans[0]).alias("qx"), spans[1].alias("ys")).select("bx", "by", "qx", F.explode("ys").alias("qy"))
+        near = seen.join(at.select(F.col("bx").alias("qx"), F.col("by").alias("qy"), "px", "py"), ["qx", "qy"]).select("bx", "by", "px", "py")
+        found = open_.join(near, ["bx", "by"]).groupBy("x", "y", "bx", "by").agg(F.min(F.hypot(cx - F.col("px"), cy - F.col("py"))).alias("distance"))
+        found = open_.join(found, ["x", "y", "bx", "by"], "left")
+        whole = (F.col("bx") - reach <= edge.x0) & (F.col("bx") + reach >= edge.x1) & (F.col("by") - reach <= edge.y0) & (F.col("by") + reach >= edge.y1)
+        done = whole | (F.col("distance") <= reach * block * min(m.cell_w, m.cell_h))
+        found = cut(found.withColumn("done", F.coalesce(done, F.lit(False))))
+        settled.append(found.filter("done").select("x", "y", "distance"))
+        open_ = found.filter("not done").select("x", "y", "bx", "by")
+        if open_.isEmpty():
+            break
+        reach *= 2
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return cube.on(out, has_time=False, bands=("distance",), types=())
 
 
-def cost_distance(cube: RasterCube, points: DataFrame, max_distance: float, band: int | str = 0, every: int = 5) -> RasterCube:
+def cost_distance(cube: RasterCube, points: DataFrame, max_distance: float, band: int | str = 0) -> RasterCube:
     """Least accumulated cost from the points (px, py) over friction cells, up to max_distance.
 
-    A step to one of 8 neighbours costs its length times the mean friction of both cells. Rounds of relaxation, each one
-    aggregation, go on until nothing changes; only cells that changed spread, and each `every` rounds lineage is cut.
+    A step to one of 8 neighbours costs its length times the mean friction of both cells. Rounds of relaxation go on
+    until nothing changes. A round writes only the cells that it improved (the frontier of the next one), not the whole
+    table; a cell's cost is the least of all rounds, and every KEEP rounds those written so far are merged.
     """
     m = cube.meta
     b = cube.band(band)
     cost = cut(cube.df.select("x", "y", F.col(b).cast("double").alias("f")).filter("f is not null"))
     px, py = m.cell_of(F.col("px"), F.col("py"))
-    best = cut(cost.join(points.select(px.alias("x"), py.alias("y")).distinct(), ["x", "y"]).select("x", "y", F.lit(0.0).alias("d"), F.lit(True).alias("new")))
+    front = cut(cost.join(points.select(px.alias("x"), py.alias("y")).distinct(), ["x", "y"]).select("x", "y", F.lit(0.0).alias("d")))
     steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit((dx * dx * m.cell_w**2 + dy * dy * m.cell_h**2) ** 0.5).alias("s")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy))
-    rounds = 0
-    while not best.filter("new").isEmpty():
-        spread_ = best.filter("new").join(cost, ["x", "y"]).select("*", F.inline(steps)).select((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "d", F.col("f").alias("g"), "s")
+    best = front
+    written = 1
+    while not front.isEmpty():
+        spread_ = front.join(cost, ["x", "y"]).select("*", F.inline(steps)).select((F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "d", F.col("f").alias("g"), "s")
         reached = spread_.join(cost, ["x", "y"]).select("x", "y", (F.col("d") + F.col("s") * (F.col("f") + F.col("g")) / 2).alias("d")).filter(F.col("d") <= max_distance)
-        both = best.select("x", "y", F.col("d").alias("old"), F.lit(None).cast("double").alias("d")).unionByName(reached.select("x", "y", F.lit(None).cast("double").alias("old"), "d"))
-        both = both.groupBy("x", "y").agg(F.min("old").alias("old"), F.min("d").alias("d"))
-        best = both.select("x", "y", F.least("old", "d").alias("d"), (F.col("d").isNotNull() & (F.col("old").isNull() | (F.col("d") < F.col("old") - 1e-12))).alias("new"))
-        rounds += 1
-        best = cut(best)
+        reached = reached.groupBy("x", "y").agg(F.min("d").alias("d"))
+        known = best.groupBy("x", "y").agg(F.min("d").alias("old"))
+        front = cut(reached.join(known, ["x", "y"], "left").filter("old is null or d < old - 1e-12").select("x", "y", "d"))
+        best, written = best.unionByName(front), written + 1
+        if written == KEEP:
+            best, written = cut(best.groupBy("x", "y").agg(F.min("d").alias("d"))), 1
+    best = best.groupBy("x", "y").agg(F.min("d").alias("d"))
     return cube.on(best.select("x", "y", F.col("d").alias("cost")), has_time=False, bands=("cost",), types=())
 
 
-GEOJSON = "struct<type: string, features: array<struct<type: string, id: string, properties: map<string, double>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>>"
+#: Rounds of cost_distance after which the frontiers written so far become one table.
+KEEP = 16
+
+GEOJSON = "struct<type: string, features: array<struct<type: string, id: string, properties: map<string, double>, geometry: struct<type: string, coordinates: string>>>>"
 
 
 def read_geojson(texts: DataFrame, column: str = "value") -> DataFrame:
-    """(feature_index, xmin, ymin, xmax, ymax, ring, properties) of the polygons of a FeatureCollection in each text; outer rings."""
+    """(feature_index, xmin, ymin, xmax, ymax, rings, properties) of the polygons of a FeatureCollection in each text.
+
+    rings are those of all parts of a Polygon or MultiPolygon, holes included. A feature without geometry, or with
+    another one, is an error.
+    """
     parsed = texts.select(F.from_json(column, GEOJSON).alias("g")).select(F.posexplode("g.features").alias("feature_index", "f"))
-    ring = F.transform(F.element_at("f.geometry.coordinates", 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    rows = parsed.select("feature_index", ring.alias("ring"), F.col("f.properties").alias("properties"))
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    return rows.select(F.col("feature_index").cast("int").alias("feature_index"), F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"), "ring", "properties")
+    kind, body = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    rings = F.when(kind == "Polygon", F.from_json(body, "array<array<array<double>>>")).when(kind == "MultiPolygon", F.flatten(F.from_json(body, "array<array<array<array<double>>>>")))
+    rings = F.coalesce(rings, F.raise_error(F.concat(F.lit("no polygon in feature "), F.col("feature_index").cast("string"))).cast("array<array<array<double>>>"))
+    corners = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    rows = parsed.select(F.col("feature_index").cast("int").alias("feature_index"), corners.alias("rings"), F.col("f.properties").alias("properties"))
+    return with_box(rows)
+
+
+def with_box(features: DataFrame) -> DataFrame:
+    """Features with the box of their rings, in the usual order of columns."""
+    xs, ys = F.transform(F.flatten("rings"), lambda p: p["x"]), F.transform(F.flatten("rings"), lambda p: p["y"])
+    rest = [c for c in features.columns if c not in ("feature_index", "xmin", "ymin", "xmax", "ymax", "rings")]
+    return features.select("feature_index", F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"), "rings", *rest)
+
+
+def reproject_features(features: DataFrame, source: str, target: str) -> DataFrame:
+    """Features in another reference system, corner by corner; a feature without rings becomes the ring of its box."""
+    def corner(x: str, y: str) -> Column:
+        return F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+
+    box = F.array(F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax")))
+
+    def moved(p: Column) -> Column:
+        x, y = transform(p["x"], p["y"], source, target)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return with_box(features.withColumn("rings", F.transform(F.coalesce("rings", box), lambda r: F.transform(r, moved))))
 
 
-def vector_to_raster(features: DataFrame, cells: DataFrame, meta) -> DataFrame:
+def vector_to_raster(features: DataFrame, cells: DataFrame, meta, partial: bool = False) -> DataFrame:
     """(x, y, t, band, value): properties `<instant>~<band>` or `<band>` of features, burnt to the cells (x, y).
 
-    A property without an instant has a missing t. Later features win where two overlap.
+    A property without an instant has a missing t. Later features win where two overlap. partial: cells that an edge passes
+    count, too.
     """
     properties = features.select("feature_index", F.explode("properties").alias("key", "value"))
     dated = F.regexp_extract("key", r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})Z?~(.*)$", 1)
     name = F.regexp_extract("key", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z?~(.*)$", 1)
     properties = properties.select("feature_index", F.try_to_timestamp(F.nullif(dated, F.lit("")), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("t"), F.when(dated == "", F.col("key")).otherwise(name).alias("band"), "value")
-    held = burnt_cells(features, cells, meta)
+    held = burnt_cells(features, cells, meta, partial)
     return held.join(properties, "feature_index").groupBy("x", "y", "t", "band").agg(F.max_by("value", "feature_index").alias("value"))
 
 
-def burnt_cells(features: DataFrame, cells: DataFrame, meta) -> DataFrame:
-    return cells_in(RasterCube(cells.select("x", "y"), meta.of(bands=(), has_time=False)), features.select("feature_index", "xmin", "ymin", "xmax", "ymax", "ring"))
+def burnt_cells(features: DataFrame, cells: DataFrame, meta, partial: bool = False) -> DataFrame:
+    grid = RasterCube(cells.select("x", "y").distinct(), meta.of(bands=(), has_time=False))
+    return (touched if partial else cells_in)(grid, features.select("feature_index", "xmin", "ymin", "xmax", "ymax", "rings"))
+
+
+_NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
 def parse_wkt(text: str) -> list[list[tuple[float, float]]]:
-    """Outer rings of POLYGON and MULTIPOLYGON, points of POINT and MULTIPOINT, lines of LINESTRING."""
+    """Rings of POLYGON and MULTIPOLYGON (all parts, holes included), points of POINT and MULTIPOINT, lines of LINESTRING and MULTILINESTRING."""
     kind, _, body = text.strip().partition("(")
-    number = r"[-+]?\d+\.?\d*(?:[eE][-+]?\d+)?"
-    def pairs(s: str) -> list[tuple[float, float]]:
-        return [(float(a), float(b)) for a, b in re.findall(rf"({number})\s+({number})", s)]
-
-    kind = kind.strip().upper()
-    if kind == "POLYGON":
-        return [pairs(body.split(")")[0])]
-    if kind == "MULTIPOLYGON":
-        return [pairs(p.split(")")[0]) for p in re.split(r"\)\s*\)\s*,", body)]
-    if kind in ("POINT", "MULTIPOINT", "LINESTRING"):
-        return [pairs(body)]
-    raise ValueError(f"unknown geometry {kind}")
+    kind = kind.strip().upper().split(" ")[0]
+    if kind not in ("POLYGON", "MULTIPOLYGON", "POINT", "MULTIPOINT", "LINESTRING", "MULTILINESTRING"):
+        raise ValueError(f"unknown geometry {kind}")
+    # Corners become [x, y], brackets nest as they do in the text.
+    nested = re.sub(rf"({_NUMBER})\s+({_NUMBER})(?:\s+{_NUMBER})*", lambda m: f"[{float(m[1])},{float(m[2])}]", "(" + body)
+    found = json.loads(nested.replace("(", "[").replace(")", "]"))
+
+    def lists(part: list) -> list[list]:
+        if isinstance(part[0][0], float):
+            return [part]
+        return [ring for inner in part for ring in lists(inner)]
+
+    if kind == "MULTIPOINT":
+        found = [p[0] if isinstance(p[0], list) else p for p in found]
+    return [[(x, y) for x, y in part] for part in lists(found)]
+
+
+def parse_wkb(data: bytes) -> list[list[tuple[float, float]]]:
+    """As parse_wkt, for the binary form."""
+    at = 0
+
+    def read(form: str) -> tuple:
+        nonlocal at
+        values = struct.unpack_from(form, data, at)
+        at += struct.calcsize(form)
+        return values
+
+    def geometry() -> list[list[tuple[float, float]]]:
+        order = "<" if read("<B")[0] else ">"
+        (kind,) = read(order + "I")
+        if kind == 1:
+            return [[read(order + "2d")]]
+
+        def corners() -> list[tuple[float, float]]:
+            return [read(order + "2d") for _ in range(read(order + "I")[0])]
+
+        if kind == 2:
+            return [corners()]
+        (n,) = read(order + "I")
+        if kind == 3:
+            return [corners() for _ in range(n)]
+        if kind in (4, 5, 6, 7):
+            return [ring for _ in range(n) for ring in geometry()]
+        raise ValueError(f"unknown geometry {kind}")
+
+    return geometry()
+
+
+def read_shapes(data: bytes) -> list[list[list[tuple[float, float]]]]:
+    """The parts of each polygon, line or point of a shapefile's main file (.shp), in its order; null shapes have none."""
+    if struct.unpack_from(">I", data, 0)[0] != 9994:
+        raise ValueError("not a shapefile")
+    out, at = [], 100
+    while at < len(data):
+        (length,) = struct.unpack_from(">I", data, at + 4)
+        at += 8
+        (kind,) = struct.unpack_from("<I", data, at)
+        if kind in (1, 11, 21):
+            out.append([[struct.unpack_from("<2d", data, at + 4)]])
+        elif kind in (3, 5, 13, 15, 23, 25):
+            parts, corners = struct.unpack_from("<2I", data, at + 36)
+            starts = [*struct.unpack_from(f"<{parts}I", data, at + 44), corners]
+            flat = struct.unpack_from(f"<{2 * corners}d", data, at + 44 + 4 * parts)
+            out.append([[(flat[2 * i], flat[2 * i + 1]) for i in range(a, b)] for a, b in zip(starts, starts[1:], strict=False)])
+        elif kind == 0:
+            out.append([])
+        else:
+            raise ValueError(f"unknown shape {kind}")
+        at += 2 * length
+    return out
 
 
 def features_of_wkt(spark: SparkSession, texts: list[str]) -> DataFrame:
-    rows = []
-    for i, text in enumerate(texts):
-        for ring in parse_wkt(text):
-            xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-            rows.append((i, min(xs), min(ys), max(xs), max(ys), ring))
-    return spark.createDataFrame(rows, FEATURE)
+    """A feature for each POLYGON or MULTIPOLYGON."""
+    return polygons(spark, [parse_wkt(text) for text in texts])
+
+
+def lines_of_wkt(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """(feature_index, line) of LINESTRING and MULTILINESTRING texts, a row for each part."""
+    return spark.createDataFrame([(i, part) for i, text in enumerate(texts) for part in parse_wkt(text)], "feature_index int, line array<struct<x: double, y: double>>")
+
+
+def intersecting(left: DataFrame, right: DataFrame, block: float) -> DataFrame:
+    """(left_index, right_index) of features that intersect: an edge of one crosses one of the other, or one holds the other.
+
+    Features meet in square blocks of coordinates that both boxes touch, by equality; then corners and edges are tested.
+    """
+    def keyed(features: DataFrame, mark: str) -> DataFrame:
+        def corner(x: str, y: str) -> Column:
+            return F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+
+        box = F.array(F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax")))
+        spans = [F.sequence(F.floor(F.col(a) / block).cast("long"), F.floor(F.col(b) / block).cast("long")) for a, b in (("xmin", "xmax"), ("ymin", "ymax"))]
+        rows = features.select(F.col("feature_index").alias(f"{mark}_index"), F.struct("xmin", "ymin", "xmax", "ymax", F.coalesce("rings", box).alias("rings")).alias(mark), spans[0].alias("bx"), spans[1].alias("by"))
+        return rows.withColumn("bx", F.explode("bx")).withColumn("by", F.explode("by"))
+
+    met = keyed(left, "left").join(keyed(right, "right"), ["bx", "by"])
+    a, b = F.col("left"), F.col("right")
+    met = met.filter((a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])).dropDuplicates(["left_index", "right_index"])
+
+    def sides(ring: Column) -> Column:
+        return F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def turn(p: Column, q: Column, r: Column) -> Column:
+        return F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
+
+    def cross(s: Column, u: Column) -> Column:
+        touch = (F.greatest(s["p"]["x"], s["q"]["x"]) >= F.least(u["p"]["x"], u["q"]["x"])) & (F.greatest(u["p"]["x"], u["q"]["x"]) >= F.least(s["p"]["x"], s["q"]["x"]))
+        touch = touch & (F.greatest(s["p"]["y"], s["q"]["y"]) >= F.least(u["p"]["y"], u["q"]["y"])) & (F.greatest(u["p"]["y"], u["q"]["y"]) >= F.least(s["p"]["y"], s["q"]["y"]))
+        return touch & (turn(s["p"], s["q"], u["p"]) * turn(s["p"], s["q"], u["q"]) <= 0) & (turn(u["p"], u["q"], s["p"]) * turn(u["p"], u["q"], s["q"]) <= 0)
+
+    def holds(rings: Column, point: Column) -> Column:
+        def crossed(s: Column) -> Column:
+            p, q = s["p"], s["q"]
+            return F.when(((p["y"] > point["y"]) != (q["y"] > point["y"])) & (point["x"] < p["x"] + (point["y"] - p["y"]) * (q["x"] - p["x"]) / (q["y"] - p["y"])), 1).otherwise(0)
+
+        return F.aggregate(F.flatten(F.transform(rings, sides)), F.lit(0), lambda n, s: n + crossed(s)) % 2 == 1
 
+    met = met.withColumns({"ls": F.flatten(F.transform(a["rings"], sides)), "rs": F.flatten(F.transform(b["rings"], sides))})
+    edges = F.exists("ls", lambda s: F.exists("rs", lambda u: cross(s, u)))
+    inside = holds(a["rings"], b["rings"][0][0]) | holds(b["rings"], a["rings"][0][0])
+    return met.filter(edges | inside).select("left_index", "right_index")

@@ -1,13 +1,15 @@
 """Statistics of cells within features.
 
-Features are rows (feature_index, xmin, ymin, xmax, ymax, ring) in the cube's coordinates. A feature is first matched to
+Features are rows (feature_index, xmin, ymin, xmax, ymax, rings) in the cube's coordinates. A feature is first matched to
 blocks of cells by its box (an equi-join on block keys), then cells are tested: in the half-open box for boxes, by
-crossing count at the cell's centre for rings. A cell in two features counts for both.
+crossing count at the cell's centre over all rings, so that holes are left out and all parts count. A cell in two features
+counts for both.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.cube import RasterCube
@@ -15,19 +17,20 @@ from gridloom.functions import series
 
 #: Cells on the edge of the blocks in which features and cells meet.
 BLOCK = 64
-FEATURE = "feature_index int, xmin double, ymin double, xmax double, ymax double, ring array<struct<x: double, y: double>>"
+FEATURE = "feature_index int, xmin double, ymin double, xmax double, ymax double, rings array<array<struct<x: double, y: double>>>"
 
 
 def boxes(spark: SparkSession, spans: list[tuple[float, float, float, float]]) -> DataFrame:
     return spark.createDataFrame([(i, *map(float, s), None) for i, s in enumerate(spans)], FEATURE)
 
 
-def polygons(spark: SparkSession, rings: list[list[tuple[float, float]]]) -> DataFrame:
-    """Rings of corners; a ring needn't repeat its first corner."""
+def polygons(spark: SparkSession, shapes: list) -> DataFrame:
+    """Shapes: a ring of corners, or a list of rings (outer rings of all parts, and holes); a ring needn't repeat its first corner."""
     rows = []
-    for i, ring in enumerate(rings):
-        xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-        rows.append((i, float(min(xs)), float(min(ys)), float(max(xs)), float(max(ys)), [(float(x), float(y)) for x, y in ring]))
+    for i, shape in enumerate(shapes):
+        rings = [shape] if isinstance(shape[0][0], (int, float)) else shape
+        xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+        rows.append((i, float(min(xs)), float(min(ys)), float(max(xs)), float(max(ys)), [[(float(p[0]), float(p[1])) for p in r] for r in rings]))
     return spark.createDataFrame(rows, FEATURE)
 
 
@@ -35,29 +38,48 @@ def points(spark: SparkSession, at: list[tuple[float, float]]) -> DataFrame:
     return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "feature_index int, px double, py double")
 
 
+def in_box(cx: Column, cy: Column) -> Column:
+    return (cx >= F.col("xmin")) & (cx < F.col("xmax")) & (cy >= F.col("ymin")) & (cy < F.col("ymax"))
+
+
 def within(cx: Column, cy: Column) -> Column:
     """Whether a coordinate lies in the feature of the row."""
-    box = (cx >= F.col("xmin")) & (cx < F.col("xmax")) & (cy >= F.col("ymin")) & (cy < F.col("ymax"))
-    ring = F.col("ring")
-    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    rings = F.col("rings")
 
     def crosses(a: Column, b: Column) -> Column:
         passes = (a["y"] > cy) != (b["y"] > cy)
         return F.when(passes & (cx < a["x"] + (cy - a["y"]) * (b["x"] - a["x"]) / (b["y"] - a["y"])), 1).otherwise(0)
 
-    hits = F.aggregate(F.zip_with(ring, after, crosses), F.lit(0), lambda s, v: s + v)
-    return box & (ring.isNull() | (hits % 2 == 1))
+    def crossed(ring: Column) -> Column:
+        after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+        return F.aggregate(F.zip_with(ring, after, crosses), F.lit(0), lambda s, v: s + v)
 
+    hits = F.aggregate(rings, F.lit(0), lambda s, ring: s + crossed(ring))
+    return in_box(cx, cy) & (rings.isNull() | (hits % 2 == 1))
 
-def cells_in(cube: RasterCube, features: DataFrame) -> DataFrame:
-    """The cube's rows once for each feature that holds their centres, with feature_index."""
+
+#: Listed tables (features, dates, labels, spans) up to this number of rows are broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 10_000
+
+
+def small(listed: DataFrame) -> DataFrame:
+    """A caller's listed table, broadcast after a look at its size."""
+    return F.broadcast(listed) if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else listed
+
+
+def _met(cube: RasterCube, features: DataFrame) -> DataFrame:
+    """The cube's rows beside each feature whose box touches their block of cells."""
     m = cube.meta
-    cx, cy = m.centre()
     low_x, high_x = (F.floor((F.col(c) - m.xmin) / m.cell_w / BLOCK).cast("long") for c in ("xmin", "xmax"))
     low_y, high_y = (F.floor((m.ymax - F.col(c)) / m.cell_h / BLOCK).cast("long") for c in ("ymax", "ymin"))
     keyed = features.withColumn("__bx", F.explode(F.sequence(low_x, high_x))).withColumn("__by", F.explode(F.sequence(low_y, high_y)))
     cells = cube.df.withColumns({"__bx": F.floor(F.col("x") / BLOCK), "__by": F.floor(F.col("y") / BLOCK)})
-    return cells.join(keyed, ["__bx", "__by"]).filter(within(cx, cy)).select("feature_index", *cube.keys, *cube.bands)
+    return cells.join(keyed, ["__bx", "__by"])
+
+
+def cells_in(cube: RasterCube, features: DataFrame) -> DataFrame:
+    """The cube's rows once for each feature that holds their centres, with feature_index."""
+    return _met(cube, features).filter(within(*cube.meta.centre())).select("feature_index", *cube.keys, *cube.bands)
 
 
 def zonal_reducer(name: str, v: Column, order: Column) -> Column:
@@ -67,9 +89,18 @@ def zonal_reducer(name: str, v: Column, order: Column) -> Column:
     return series.reducer(name, v, order)
 
 
-def aggregate_spatial(cube: RasterCube, features: DataFrame, reducers: list[str], all_features: bool = True, probabilities: list[float] | None = None) -> DataFrame:
+def counted(condition: dict, v: Column) -> Column:
+    """Cells for which a process graph on the value holds."""
+    from gridloom.plans.graph import compile_bands
+
+    return F.count(F.when(compile_bands(condition, [v], ["value"])[0], F.lit(1)))
+
+
+def aggregate_spatial(cube: RasterCube, features: DataFrame, reducers: list[str], all_features: bool = True, probabilities: list[float] | None = None, conditions: dict[str, dict] | None = None) -> DataFrame:
     """One row for each feature (and date): columns <band>_<reducer>, quantiles as <band>_q<percent>.
 
+    conditions: process graphs on a cell's value; cells for which one holds are counted as <band>_<name>_count.
+
     Rows whose bands are all missing don't reach the aggregation unless a count needs them; with all_features, a feature
     gets a row for each date of the cube all the same.
     """
@@ -82,21 +113,32 @@ def aggregate_spatial(cube: RasterCube, features: DataFrame, reducers: list[str]
     made = [zonal_reducer(r, F.col(b), order).alias(f"{b}_{r}") for b in cube.bands for r in reducers]
     for p in probabilities or []:
         made += [F.percentile_approx(b, p, 100000).alias(f"{b}_q{round(p * 100)}") for b in cube.bands]
+    for name, graph in (conditions or {}).items():
+        made += [counted(graph, F.col(b)).alias(f"{b}_{name}_count") for b in cube.bands]
     found = rows.groupBy(*groups).agg(*made)
     if not all_features:
         return found
     wanted = features.select("feature_index")
     if cube.meta.has_time:
-        wanted = cube.df.select("t").distinct().join(F.broadcast(wanted))  # dates by listed features
+        wanted = cube.df.select("t").distinct().join(small(wanted))  # dates by listed features
     out = wanted.join(found, groups, "left")
     zero = [c for c in out.columns if c.endswith(("_count", "_count_all"))]
     return out.fillna(0, zero) if zero else out
 
 
-def time_series(cube: RasterCube, features: DataFrame, reducer: str) -> DataFrame:
-    """(t, value) of the first band over all features' cells."""
+def time_series(cube: RasterCube, features: DataFrame, reducer: str | list[str]) -> DataFrame:
+    """(t, value) of the first band over all features' cells; with a list of reducers a column for each of them."""
     held = cells_in(cube, features).dropDuplicates(cube.keys)
-    return held.groupBy("t").agg(series.reducer(reducer, F.col(cube.bands[0]), F.struct("y", "x")).alias("value"))
+    v, order = F.col(cube.bands[0]), F.struct("y", "x")
+    if isinstance(reducer, str):
+        return held.groupBy("t").agg(series.reducer(reducer, v, order).alias("value"))
+    return held.groupBy("t").agg(*(zonal_reducer(r, v, order).alias(r) for r in reducer))
+
+
+def histogram_series(cube: RasterCube, features: DataFrame, low: float, high: float, bins: int) -> DataFrame:
+    """(t, bin, n): for each date, cells of the first band in any feature, by equal bins between low and high."""
+    held = mask_features(cube, features)
+    return value_histogram(held, low, high, bins)
 
 
 def running_totals(cube: RasterCube, features: DataFrame) -> DataFrame:
@@ -140,13 +182,10 @@ def mask_features(cube: RasterCube, features: DataFrame) -> RasterCube:
 
 
 def group_by_feature(cube: RasterCube, features: DataFrame, mask_value: float | None = None) -> DataFrame:
-    """Each feature's box of cells: feature_index, keys, bands; cells outside of the ring are missing or mask_value."""
-    box = cells_in(cube, features.withColumn("ring", F.lit(None).cast(features.schema["ring"].dataType)))
-    m = cube.meta
-    cx, cy = m.centre()
-    joined = box.join(features, "feature_index")
-    inside = within(cx, cy)
-    return joined.select("feature_index", *cube.keys, *(F.when(inside, F.col(b)).otherwise(F.lit(mask_value)).alias(b) for b in cube.bands))
+    """Each feature's box of cells: feature_index, keys, bands; cells outside of the rings are missing or mask_value."""
+    inside = within(*cube.meta.centre())
+    held = _met(cube, features).filter(in_box(*cube.meta.centre()))
+    return held.select("feature_index", *cube.keys, *(F.when(inside, F.col(b)).otherwise(F.lit(mask_value)).alias(b) for b in cube.bands))
 
 
 def merge_features(grouped: DataFrame, cube: RasterCube) -> RasterCube:
@@ -155,17 +194,18 @@ def merge_features(grouped: DataFrame, cube: RasterCube) -> RasterCube:
     return cube.on(grouped.groupBy(*cube.keys).agg(*picked))
 
 
-def rasterize(cube_keys: DataFrame, meta, features: DataFrame, values: DataFrame | None = None, constant: float = 1.0) -> RasterCube:
+def rasterize(cube_keys: DataFrame, meta, features: DataFrame, values: DataFrame | None = None, constant: float = 1.0, partial: bool = False) -> RasterCube:
     """Cells (x, y of cube_keys) in features, burnt with a constant or each feature's value; the highest zindex wins.
 
-    values: feature_index, value, zindex.
+    values: feature_index, value, zindex and, for a cube with time, t. partial: cells that an edge passes count, too.
     """
-    cells = RasterCube(cube_keys.select("x", "y"), meta.of(bands=(), has_time=False))
-    held = cells_in(cells, features)
+    cells = RasterCube(cube_keys.select("x", "y").distinct(), meta.of(bands=(), has_time=False))
+    held = touched(cells, features) if partial else cells_in(cells, features)
     if values is None:
         return RasterCube(held.select("x", "y").distinct().withColumn("value", F.lit(float(constant))), meta.of(bands=("value",), has_time=False))
-    burnt = held.join(values, "feature_index").groupBy("x", "y").agg(F.max_by("value", F.struct("zindex", "feature_index")).alias("value"))
-    return RasterCube(burnt, meta.of(bands=("value",), has_time=False))
+    timed = "t" in values.columns
+    burnt = held.join(values, "feature_index").groupBy("x", "y", *(["t"] if timed else [])).agg(F.max_by("value", F.struct("zindex", "feature_index")).alias("value"))
+    return RasterCube(burnt, meta.of(bands=("value",), has_time=timed))
 
 
 def cell_counts(cube: RasterCube, band: int | str = 0, features: DataFrame | None = None) -> DataFrame:
@@ -178,15 +218,78 @@ def min_max(cube: RasterCube) -> DataFrame:
     return cube.df.agg(*(c for b in cube.bands for c in (F.min(b).alias(f"{b}_min"), F.max(b).alias(f"{b}_max"))))
 
 
-def quantile_breaks(cube: RasterCube, n: int, band: int | str = 0, exact: bool = True) -> DataFrame:
-    """(rank, value): upper limits of n classes with equal numbers of cells."""
+def quantile_breaks(cube: RasterCube, n: int, band: int | str = 0, exact: bool = True, bins: int = 4096) -> DataFrame:
+    """(rank, value): upper limits of n classes with equal numbers of cells, linear between neighbouring ranks.
+
+    Exact breaks take two passes: a histogram of equal bins (one row a bin, combined before the shuffle) tells in which
+    bins the wanted ranks lie, and only the cells of those bins are ranked.
+    """
     b, cuts = cube.band(band), [(i + 1) / n for i in range(n)]
-    held = F.percentile(b, F.array(*map(F.lit, cuts))) if exact else F.percentile_approx(b, cuts, 10000)
-    return cube.df.agg(held.alias("__q")).select(F.posexplode("__q").alias("rank", "value"))
+    if not exact:
+        held = cube.df.agg(F.percentile_approx(b, cuts, 10000).alias("__q"))
+        return held.select(F.posexplode("__q").alias("rank", "value"))
+    values = cube.df.select(F.col(b).cast("double").alias("v")).filter("v is not null")
+    edge = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).first()
+    if not edge.n:
+        return values.sparkSession.createDataFrame([], "rank int, value double")
+    width = (edge.high - edge.low) / bins
+    at = F.least(F.floor((F.col("v") - edge.low) / width), F.lit(bins - 1)).cast("int") if width > 0 else F.lit(0)
+    counts = sorted(values.groupBy(at.alias("bin")).count().collect())  # at most `bins` rows
+    wanted = []  # (rank, position, lower index, bin, index within the bin)
+    for i, c in enumerate(cuts):
+        place = c * (edge.n - 1)
+        for index in {int(place), min(int(place) + 1, edge.n - 1)}:
+            below = 0
+            for bin_, size in counts:
+                if index < below + size:
+                    wanted.append((i, place, index, bin_, index - below))
+                    break
+                below += size
+    spark = values.sparkSession
+    listed = spark.createDataFrame(wanted, "rank int, place double, index long, bin int, at long")
+    hit = values.withColumn("bin", at).filter(F.col("bin").isin(sorted({w[3] for w in wanted})))
+    ranked = hit.groupBy("bin", "v").agg(F.count("*").alias("k"))
+    ranked = ranked.withColumn("upto", F.sum("k").over(W.partitionBy("bin").orderBy("v")))
+    met = ranked.join(F.broadcast(listed), "bin").filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("k")))
+    part = F.col("place") - F.floor("place")
+    weight = F.when(F.col("index") == F.floor("place"), 1 - part).otherwise(part)
+    return met.groupBy("rank").agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("value"))
 
 
 def value_histogram(cube: RasterCube, low: float, high: float, bins: int, band: int | str = 0) -> DataFrame:
-    """(bin, n) of equal bins between low and high; values beyond go to the outer bins."""
+    """([t,] bin, n) of equal bins between low and high; values beyond go to the outer bins."""
     b = F.col(cube.band(band))
     at = F.least(F.greatest(F.floor((b - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
-    return cube.df.filter(b.isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    return cube.df.filter(b.isNotNull()).groupBy(*(["t"] if cube.meta.has_time else []), at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def line_cells(cube: RasterCube, lines: DataFrame) -> DataFrame:
+    """The cube's rows once for each line feature (feature_index, line: array of x, y) that passes through the cell.
+
+    A piece of a line is cut at the columns of cells, and in each column it passes the rows between both of its ends there.
+    """
+    m = cube.meta
+    place = F.transform("line", lambda p: F.struct(((p["x"] - m.xmin) / m.cell_w).alias("x"), ((m.ymax - p["y"]) / m.cell_h).alias("y")))
+    rows = lines.select("feature_index", place.alias("p"))
+    ends = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: F.struct(F.least(a["x"], b["x"]).alias("x0"), F.greatest(a["x"], b["x"]).alias("x1"), F.when(a["x"] <= b["x"], a["y"]).otherwise(b["y"]).alias("y0"), F.when(a["x"] <= b["x"], b["y"]).otherwise(a["y"]).alias("y1")))
+    pieces = rows.select("feature_index", F.inline(ends)).withColumn("x", F.explode(F.sequence(F.floor("x0").cast("long"), F.floor("x1").cast("long"))))
+    rise = F.when(F.col("x1") > F.col("x0"), (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))).otherwise(0.0)
+    enter = F.when(F.col("x1") > F.col("x0"), F.col("y0") + rise * (F.greatest("x0", F.col("x").cast("double")) - F.col("x0"))).otherwise(F.col("y0"))
+    leave = F.when(F.col("x1") > F.col("x0"), F.col("y0") + rise * (F.least("x1", F.col("x") + 1.0) - F.col("x0"))).otherwise(F.col("y1"))
+    cells = pieces.withColumns({"__a": F.floor(F.least(enter, leave)).cast("long"), "__b": F.floor(F.greatest(enter, leave)).cast("long")})
+    cells = cells.select("feature_index", "x", F.explode(F.sequence("__a", "__b")).alias("y")).distinct()
+    return cube.df.join(cells, ["x", "y"]).select("feature_index", *cube.keys, *cube.bands)
+
+
+def aggregate_lines(cube: RasterCube, lines: DataFrame, reducers: list[str]) -> DataFrame:
+    """One row for each line (and date) that passes any cell: columns <band>_<reducer>."""
+    groups = ["t", "feature_index"] if cube.meta.has_time else ["feature_index"]
+    made = [zonal_reducer(r, F.col(b), F.struct("y", "x")).alias(f"{b}_{r}") for b in cube.bands for r in reducers]
+    return line_cells(cube, lines).groupBy(*groups).agg(*made)
+
+
+def touched(cube: RasterCube, features: DataFrame) -> DataFrame:
+    """As cells_in, with the cells that a feature's edge passes besides those whose centres it holds (partial cells)."""
+    edges = features.filter("rings is not null").select("feature_index", F.explode("rings").alias("r"))
+    edges = edges.select("feature_index", F.concat("r", F.slice("r", 1, 1)).alias("line"))
+    return cells_in(cube, features).unionByName(line_cells(cube, edges)).dropDuplicates(["feature_index", *cube.keys])

@@ -119,6 +119,65 @@ def test_wkt(spark):
     assert zonal.cells_in(flat(spark, [[1, 2], [3, 4]]), vector.features_of_wkt(spark, ["POLYGON ((0 0, 2 0, 2 -1, 0 -1))"])).count() == 2
 
 
+def test_rings_of_features(spark):
+    c = flat(spark, [[1] * 12] * 12)
+    hole = "POLYGON ((1 -1, 11 -1, 11 -11, 1 -11, 1 -1), (3 -3, 9 -3, 9 -9, 3 -9, 3 -3))"
+    assert zonal.cells_in(c, vector.features_of_wkt(spark, [hole])).count() == 64
+    parts = [[[[0, 0], [2, 0], [2, -2], [0, -2], [0, 0]]], [[[5, -5], [9, -5], [9, -9], [5, -9], [5, -5]], [[6, -6], [8, -6], [8, -8], [6, -8], [6, -6]]]]
+    feature = {"type": "Feature", "properties": {}, "geometry": {"type": "MultiPolygon", "coordinates": parts}}
+    text = spark.createDataFrame([(json.dumps({"type": "FeatureCollection", "features": [feature]}),)], "value string")
+    got = vector.read_geojson(text)
+    assert tuple(got.first()[1:5]) == (0, -9, 9, 0) and zonal.cells_in(c, got).count() == 4 + 12
+    nothing = spark.createDataFrame([(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": None}]}),)], "value string")
+    with pytest.raises(Exception, match="no polygon in feature 0"):
+        vector.read_geojson(nothing).collect()
+    moved = vector.reproject_features(vector.reproject_features(vector.features_of_wkt(spark, [hole]), "EPSG:4326", "EPSG:32631"), "EPSG:32631", "EPSG:4326")
+    assert tuple(moved.first()[1:5]) == pytest.approx((1, -11, 11, -1), abs=1e-6)
+
+
+def test_binary_geometries(spark):
+    import struct
+
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, -4.0), (0.0, 0.0)]
+    polygon = struct.pack("<BII", 1, 3, 1) + struct.pack("<I", 4) + b"".join(struct.pack("<2d", *p) for p in ring)
+    assert vector.parse_wkb(polygon) == [ring]
+    assert vector.parse_wkb(struct.pack(">BII", 0, 6, 1) + polygon) == [ring]
+    body = struct.pack("<I4d2I", 5, 0, -4, 4, 0, 1, 4) + struct.pack("<I", 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+    shp = struct.pack(">I", 9994) + b"\0" * 96 + struct.pack(">2I", 1, len(body) // 2) + body
+    assert vector.read_shapes(shp) == [[ring]]
+
+
+def test_lines(spark):
+    c = flat(spark, [[x + 10 * y for x in range(6)] for y in range(6)])
+    lines = vector.lines_of_wkt(spark, ["LINESTRING (0.5 -0.5, 3.5 -0.5)", "LINESTRING (0.5 -0.5, 2.5 -4.5)", "LINESTRING (1.5 -0.5, 1.5 -2.5)"])
+    got = {}
+    for r in zonal.line_cells(c, lines).collect():
+        got.setdefault(r.feature_index, set()).add((r.x, r.y))
+    assert got[0] == {(0, 0), (1, 0), (2, 0), (3, 0)} and got[2] == {(1, 0), (1, 1), (1, 2)}
+    assert got[1] == {(0, 0), (0, 1), (1, 1), (1, 2), (1, 3), (2, 3), (2, 4)}
+    assert {r.feature_index: r.v_max for r in zonal.aggregate_lines(c, lines, ["max"]).collect()} == {0: 3, 1: 42, 2: 21}
+    small = zonal.polygons(spark, [[(1.2, -1.2), (2.4, -1.2), (2.4, -2.3), (1.2, -2.3)]])
+    assert {(r.x, r.y) for r in zonal.touched(c, small).collect()} == {(1, 1), (2, 1), (1, 2), (2, 2)}
+
+
+def test_intersecting_features(spark):
+    a = zonal.polygons(spark, [[(0, 0), (4, 0), (4, 4), (0, 4)], [(10, 10), (11, 10), (11, 11)]])
+    b = zonal.polygons(spark, [[(1, 1), (2, 1), (2, 2)], [(3, 3), (8, 3), (8, 8)], [(4.5, 0), (6, 0), (6, 2)], [(9, 9), (20, 9), (20, 20), (9, 20)]])
+    assert sorted(map(tuple, vector.intersecting(a, b, 3.0).collect())) == [(0, 0), (0, 1), (1, 3)]
+
+
+def test_distance_by_blocks(spark):
+    rng = np.random.default_rng(4)
+    c = flat(spark, [[0] * 40 for _ in range(30)])
+    for at in (rng.uniform(0, 1, (5, 2)) * [40, -30], np.array([[300.0, -5.0]]), rng.uniform(0, 1, (60, 2)) * [40, -30]):
+        points = spark.createDataFrame([tuple(map(float, p)) for p in at], "px double, py double")
+        got = cells(vector.euclidean_distance(c, points, block=4))
+        assert len(got) == 1200
+        for x, y in ((0, 0), (39, 29), (17, 3), (5, 22)):
+            assert got[(x, y)] == pytest.approx(np.hypot(at[:, 0] - x - 0.5, at[:, 1] + y + 0.5).min())
+    assert set(cells(vector.euclidean_distance(c, points.limit(0))).values()) == {None}
+
+
 def test_vector_cube(spark):
     ring = [[0.0, 0.0], [2.0, 0.0], [2.0, -1.0], [0.0, -1.0], [0.0, 0.0]]
     text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "id": "a", "properties": {"pop": 3.0, "2021-01-05T00:00:00Z~b1": 7.0, "2021-01-05T00:00:00Z~b2": None}, "geometry": {"type": "Polygon", "coordinates": [ring]}}]})
@@ -201,6 +260,8 @@ def test_retile_and_pyramid(spark):
     assert cells(grid.pyramid(c, 1)[0])[(1, 1)] == np.mean([22, 23, 32, 33])
     square = grid.grid_square(F.lit(448251.0), F.lit(5411932.0), F.lit(31), F.lit(True))
     assert spark.range(1).select(square).first()[0] == "31UDQ"
+    south = grid.grid_square(F.lit(334873.0), F.lit(6252266.0), F.lit(56), F.lit(False))
+    assert spark.range(1).select(south).first()[0] == "56HLH"
     names = spark.range(1).select(grid.degree_tile(F.lit(5.3), F.lit(51.9)), grid.degree_tile(F.lit(-0.1), F.lit(-0.1))).first()
     assert tuple(names) == ("N51E005", "S01W001")
 
@@ -212,6 +273,38 @@ def test_mercator_round_trip(spark):
     assert got[0] == pytest.approx(556597.4539) and got[1] == pytest.approx(6621293.7227) and got[2] == pytest.approx(5) and got[3] == pytest.approx(51)
 
 
+def test_utm(spark):
+    east, north = grid.to_utm(F.lit(2.2945), F.lit(48.8582), F.lit(31), F.lit(True))
+    lon, lat = grid.from_utm(east, north, F.lit(31), F.lit(True))
+    got = spark.range(1).select(east, north, lon, lat).first()
+    assert got[0] == pytest.approx(448251.8, abs=1) and got[1] == pytest.approx(5411932.7, abs=1) and got[2] == pytest.approx(2.2945, abs=1e-9) and got[3] == pytest.approx(48.8582, abs=1e-9)
+
+
+def test_resampling_methods(spark):
+    values = np.arange(64.0).reshape(8, 8)
+    c = flat(spark, values.tolist())
+    half = c.meta.of(cell_w=2.0, cell_h=2.0)
+    blocks = values.reshape(4, 2, 4, 2).transpose(0, 2, 1, 3).reshape(4, 4, 4)
+    for name, f in {"average": np.mean, "min": np.min, "max": np.max, "sum": np.sum, "med": np.median, "q1": lambda v: np.quantile(v, 0.25), "rms": lambda v: np.sqrt((v * v).mean())}.items():
+        got = cells(grid.resample(c, half, 4, 4, name))
+        assert got == {(x, y): pytest.approx(f(blocks[y, x])) for x in range(4) for y in range(4)}
+    # Kernels give a plane back between its cells, away from the edge.
+    fine = c.meta.of(xmin=3.25, ymax=-3.25, cell_w=0.5, cell_h=0.5)
+    for name in ("bilinear", "cubic", "cubicspline"):
+        assert cells(grid.resample(c, fine, 1, 1, name))[(0, 0)] == pytest.approx(3 + 8 * 3)
+    assert cells(grid.resample(c, fine, 1, 1, "lanczos"))[(0, 0)] == pytest.approx(27)
+    degrees = flat(spark, [[x for x in range(20)] for _ in range(20)], xmin=2.9, ymax=51.1, cell_w=0.01, cell_h=0.01, crs="EPSG:4326")
+    utm = degrees.meta.of(xmin=500000.0, ymax=5.645e6, cell_w=700.0, cell_h=1100.0, crs="EPSG:32631")
+    near, smooth = cells(grid.resample(degrees, utm, 5, 5, "near")), cells(grid.resample(degrees, utm, 5, 5, "bilinear"))
+    assert near[(0, 0)] == 10 and smooth[(0, 0)] == pytest.approx(10, abs=0.51) and len(near) == len(smooth) == 25
+
+
+def test_layout_of_tiles(spark):
+    c = flat(spark, [[x + 10 * y for x in range(6)] for y in range(4)], tile_cols=4, tile_rows=4)
+    laid = grid.tile_to_layout(grid.retile(c, 4, 4), c.meta, c.meta, 6, 4)
+    assert cells(laid) == cells(c)
+
+
 def test_resampling(spark):
     c = flat(spark, [[0, 10], [20, 30]])
     assert cells(grid.resample_bilinear(c, c.meta.of(cell_w=0.5, cell_h=0.5), 4, 4))[(1, 1)] == pytest.approx(7.5)
