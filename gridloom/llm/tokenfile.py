@@ -13,6 +13,7 @@ committed like any table, on any store that Spark can write, and a lost executor
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import uuid
@@ -36,47 +37,106 @@ ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 #: Compressed bytes of a shard, about; a longer document makes a longer shard.
 SHARD = 16 << 20
 LEVEL = 3
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of pieces and their ids that a worker remembers before a turnover, for each of two kinds; what an entry costs besides.
+REMEMBERED, ENTRY_BYTES = 96 << 20, 150
+#: Pieces of more characters aren't remembered; pieces encoded as one text.
+LONG, TOGETHER = 200, 500
 
 
-class Encoder:
-    """Ids of texts by a byte-level BPE of the tokenizers library, piece by piece.
+class Memory(dict):
+    """Ids of pieces of text: what is remembered, and besides it the long pieces of the texts at hand."""
+
+    def __init__(self):
+        self.long: dict[str, bytes] = {}
+        self.size = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.long[piece]
 
-    The tokenizer's own splitting never joins a character with white space that follows it, so a text can be cut before
-    each single space or newline between words and its pieces encoded alone; the library sees each distinct piece once.
-    Texts with other white space are cut only before spaces that follow a character that isn't white space. Strings of
-    special tokens are ordinary text.
+    def add(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.update(zip(pieces, ids, strict=True))
+        self.size += sum(map(len, pieces)) + sum(map(len, ids)) + ENTRY_BYTES * len(ids)
+
+
+class Encoder:
+    """Ids of texts by a byte-level BPE of the tokenizers library, as its own encode gives them for whole texts.
+
+    The usual splitting of a byte-level tokenizer never joins a character with white space that follows it, so a text can
+    be cut before each single space or newline between words and its pieces encoded alone; the library sees each distinct
+    piece once. Texts with other white space are cut only before spaces that follow a character that isn't white space. A
+    tokenizer file of another make (a normaliser, another splitting), and texts that hold the string of an added token,
+    go to the library whole. special: strings of special tokens in a text stand for them, as the library takes them;
+    else they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.seen: list[dict[str, bytes]] = [{}, {}]
-        self.older: list[dict[str, bytes]] = [{}, {}]  # those before the last turnover
-        self.newline = self._encode(["\n"])[0]
-        self.marks = dict(zip(",.", self._encode([",", "."]), strict=True))
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split = made.get("pre_tokenizer") or {}
+        model = made["model"]
+        self.apart = (
+            model.get("type", "BPE") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer")
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")) and (made.get("post_processor") or {}).get("type", "ByteLevel") == "ByteLevel"
+        )
+        self.seen, self.older = [Memory(), Memory()], [Memory(), Memory()]  # older: those before the last turnover
+        if self.apart:
+            # Each character of a byte-level token stands for a byte.
+            self.width = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.width[i] = len(token)
+            self.newline = self._encode(["\n"])[0]
+            self.marks = dict(zip(",.", self._encode([",", "."]), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, kind: int, words: list[str]) -> list[bytes]:
+        """As _encode, for pieces without white space: some hundreds of them go as one text, whose ids are cut by their bytes."""
+        gap = " " if kind else "\n"
+        parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        out: list[bytes] = []
+        for part, found in zip(parts, self.tokenizer.encode_batch([gap * kind + gap.join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            reached = np.cumsum(self.width[ids])
+            sizes = np.fromiter((len(w.encode()) + 1 for w in part), np.int64, len(part))
+            ends = np.cumsum(sizes) - (0 if kind else 1)
+            last = np.searchsorted(reached, ends)
+            if last[-1] >= len(ids) or not np.array_equal(reached[last], ends):
+                out += self._encode([" " * kind + w for w in part])
+                continue
+            first = np.r_[0, last[:-1] + (1 if kind else 2)]
+            data = ids.tobytes()
+            out += [data[4 * a : 4 * b + 4] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        return out
+
     def _learn(self, kind: int, parts: set[str]) -> None:
         """Afterwards seen[kind] holds all of parts; kind 0 at a line's start, 1 behind a space."""
         seen, older = self.seen[kind], self.older[kind]
-        new = parts.difference(seen)
-        if len(seen) + len(new) > REMEMBERED:
-            seen, older, new = {}, seen, parts
+        if seen.size > REMEMBERED:
+            seen, older = Memory(), seen
             self.seen[kind], self.older[kind] = seen, older
-        seen.update((p, older[p]) for p in new if p in older)
+        seen.long = {}
+        new = parts.difference(seen)
+        known = [p for p in new if p in older]
+        seen.add(known, [older[p] for p in known])
         if not (asked := [p for p in new if p not in seen]):
             return
         # A full stop or comma behind a letter is a token of its own: the word is asked for without it.
-        ends = {p: p[-1] for p in asked if len(p) > 1 and p[-1] in self.marks and p[-2] < "\u0250" and p[-2].isalpha()}
-        words = sorted({p[:-1] if p in ends else p for p in asked}.difference(seen))
-        seen.update(zip(words, self._encode([" " * kind + p for p in words]), strict=True))
-        seen.update((p, seen[p[:-1]] + self.marks[e]) for p, e in ends.items())
+        ends = {p: p[-1] for p in asked if 1 < len(p) <= LONG and p[-1] in self.marks and p[-2] < "\u0250" and p[-2].isalpha()}
+        words, odd = [], []
+        for p in sorted({p[:-1] if p in ends else p for p in asked}.difference(seen)):
+            (words if p.split() == [p] and len(p) <= LONG else odd).append(p)
+        seen.add(words, self._words(kind, words))
+        ids = dict(zip(odd, self._encode([" " * kind + p for p in odd]), strict=True))
+        seen.long = {p: x for p, x in ids.items() if len(p) > LONG}
+        short = [p for p in odd if len(p) <= LONG]
+        seen.add(short, [ids[p] for p in short])
+        seen.add(list(ends), [seen[p[:-1]] + self.marks[e] for p, e in ends.items()])
 
     @staticmethod
     def _lines(text: str) -> list[list[str]]:
@@ -88,16 +148,20 @@ class Encoder:
         """For each text its ids as little-endian 32-bit integers."""
         out: list[bytes] = []
         for some in stretches(texts):
-            cut = [self._lines(t) if t else [] for t in some]
+            whole = [not self.apart or any(a in t for a in self.added) for t in some]
+            asked = [t for t, w in zip(some, whole, strict=True) if w]
+            plain = iter(self._encode(asked) if asked else ())
+            cut = [self._lines(t) if t and not w else [] for t, w in zip(some, whole, strict=True)]
             starts, parts = set(), set()
             for lines in cut:
                 for line in lines:
                     starts.add(line[0])
                     parts.update(line[1:])
-            self._learn(0, starts)
-            self._learn(1, parts)
+            if starts:
+                self._learn(0, starts)
+                self._learn(1, parts)
             first, rest = self.seen[0], self.seen[1].__getitem__
-            out += [self.newline.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines]) for lines in cut]
+            out += [next(plain) if w else self.newline.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines]) if lines else b"" for lines, w in zip(cut, whole, strict=True)]
         return out
 
     def ids(self, text: str) -> bytes:
@@ -105,9 +169,9 @@ class Encoder:
 
 
 @functools.lru_cache(2)
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, special: bool = True) -> Encoder:
     """One for each Python worker: what it remembers serves all its tasks."""
-    return Encoder(path)
+    return Encoder(path, special)
 
 
 def pack(frames: Iterable[tuple[int | None, bytes]], width: int = 4, limit: int = SHARD) -> Iterator[bytes]:
@@ -175,18 +239,19 @@ def _write(shards: DataFrame, path: str) -> None:
     text.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", SEEK_MAGIC.decode("latin-1")).text(path)
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> None:
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, special: bool = True) -> None:
     """Encode every whole text with a tokenizers file, append end_id and write shards in ascending order of doc_id.
 
     Null ids come first, rows with one id in the order of their texts' hashes; a null text is an empty one and gives
-    end_id alone. Other columns of docs are left out. An empty table writes no shard.
+    end_id alone; texts are read whole, however long. special: see Encoder. Other columns of docs are left out, so their
+    names can't clash. An empty table writes no shard.
     """
     small_batches(docs.sparkSession)
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     dealt = frame.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, special)
         width = 2 if max(end_id + 1, encoder.tokenizer.get_vocab_size()) <= 1 << 16 else 4
         end = struct.pack("<I", end_id)
 
@@ -202,7 +267,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: s
 
 
 def _place(path: Column, group: int) -> Column:
-    return F.regexp_extract(path, r"part-(\d+)-[^/]*?-c(\d+)[^/]*$", group).cast("long")
+    """Task (1) and file (2) number in a written file's name; the job's id between them may hold -c and digits, too."""
+    return F.regexp_extract(path, r"part-(\d+)-[^/]*-c(\d+)(?:\.[^/]*)?$", group).cast("long")
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,8 @@ from gridloom.llm.common import folder
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ENCODER = tokenfile.Encoder(PATH)
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
+AS_TEXT = Tokenizer.from_file(PATH)
+AS_TEXT.encode_special_tokens = True
 
 
 @settings(max_examples=400, deadline=None)
@@ -26,8 +27,37 @@ def test_encoder_agrees_with_the_library(text):
     assert np.frombuffer(ENCODER.ids(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|> <|endof", "<|endoftext| >"])
+def test_special_tokens(text):
+    assert np.frombuffer(ENCODER.ids(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokenfile.Encoder(PATH, special=False).ids(text), "<u4").tolist() == AS_TEXT.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizer_of_another_make():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library = tokenfile.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Some Words, and  More\nof them", "", "é 12 <|endoftext|>", "word " * 300]
+    assert not encoder.apart
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids_all(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_pieces_are_not_remembered():
+    encoder = tokenfile.Encoder(PATH)
+    texts = ["x" * 5000 + " " + "ab" * 4000 + "\n" + "y" * 300, "a b c " + "é" * 1000 + ",", "z" * 201 + "."]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids_all(texts)] == [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
+    assert all(len(p) <= tokenfile.LONG for kind in encoder.seen for p in kind)
+
+
+def test_many_words_at_once():
+    rnd = random.Random(2)
+    texts = [" ".join("".join(rnd.choice("abcdeé日'1.,-") for _ in range(rnd.randint(1, 9))) for _ in range(3000)) for _ in range(3)]
+    texts += ["\n".join(t.split(" ")) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokenfile.Encoder(PATH).ids_all(texts)] == [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_encoder_forgets(monkeypatch):
-    monkeypatch.setattr(tokenfile, "REMEMBERED", 5)
+    monkeypatch.setattr(tokenfile, "REMEMBERED", 500)
     encoder = tokenfile.Encoder(PATH)
     text = " ".join(f"w{i % 13} x{i}" for i in range(200)) + "\nend <|endoftext|>"
     assert np.frombuffer(encoder.ids(text), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
@@ -69,6 +99,13 @@ def test_round_trip(spark):
         start += r.n_tokens
 
 
+def test_places_in_file_names(spark):
+    names = ["x/part-00003-d8ef7c38-c367-41c6-c012-fffd9a8970f7-c012.txt", "x/part-00000-c0000000-c111-c222-c333-c44444444444-c000.txt.gz", "part-00012-1-c007"]
+    df = spark.createDataFrame([(n,) for n in names], "path string")
+    got = [tuple(r) for r in df.select(tokenfile._place(df.path, 1), tokenfile._place(df.path, 2)).collect()]
+    assert got == [(3, 12), (0, 0), (12, 7)]
+
+
 def test_empty(spark):
     path = tokenfile.new_path(spark)
     tokenfile.write(spark.createDataFrame([], "doc_id long, text string"), PATH, path)
