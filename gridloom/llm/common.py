@@ -34,26 +34,53 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Ready the session for Python stages: small Arrow batches where Spark's default still holds, and this package
+    """Ready the session for Python stages: small Arrow batches unless their size was set on purpose, and this package
     sent to the executors, who may not have it installed."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(key):
         spark.conf.set(key, str(BATCH_ROWS))
     ship(spark)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The shared folder for written tables: spark.checkpoint.dir. Only a local session may do without it, in a folder of its own."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"gridloom-{uuid.uuid4().hex}")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def packed(docs: DataFrame, **derived: Column) -> DataFrame:
+    """docs with all its columns in one struct `row` beside derived columns, so that no name of docs can clash; row.* unpacks it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in derived.items()))
+
+
+#: Hot keys are those with more rows than this and than one in HOT_KEYS of all rows; so there are less than HOT_KEYS.
+HOT_ROWS, HOT_KEYS = 1000, 50_000
+
+
+def join_spread(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to side, which has one row for each key and, as `n`, the number of rows with that key.
+
+    Rows of hot keys meet their side by broadcast, of less than HOT_KEYS rows whatever the input's size, so that no task
+    gets all rows of one key; the others shuffle. how: inner or left. `n` isn't in the result.
+    """
+    total = side.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = cut(side.filter(F.col("n") > limit).drop("n"))
+    rest = side.filter(F.col("n") <= limit).drop("n")
+    if hot.isEmpty():
+        return rows.join(rest, on, how)
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and go on from the written rows; the folder ends with the application."""
     spark = df.sparkSession
@@ -67,11 +94,12 @@ def folder(spark: SparkSession) -> str:
     path = f"{scratch(spark).rstrip('/')}/gridloom-{spark.sparkContext.applicationId}"
     if path not in _FOLDERS:
         _FOLDERS.add(path)
-        atexit.register(_remove, spark, path)
+        atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a written table that is no longer needed."""
     with contextlib.suppress(Exception):  # the session may have ended before
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -82,21 +110,21 @@ def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Cut a stream sorted by an integer key into tables that hold whole runs of equal keys."""
+def by_key(batches: Iterator[pa.RecordBatch], key: str, least: int = 1) -> Iterator[pa.Table]:
+    """Cut a stream sorted by an integer key into tables of at least so many rows that hold whole runs of equal keys."""
     held: list[pa.RecordBatch] = []
-    last = None
+    size, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(key).to_numpy(zero_copy_only=False)
         start = int(np.searchsorted(keys, keys[-1], side="left"))
-        if start == 0 and (not held or last == keys[-1]):
-            held.append(batch)
-        else:
-            whole = [*held, batch.slice(0, start)] if start else held
-            yield pa.Table.from_batches(whole)
-            held = [batch.slice(start)]
+        if size + start >= least and (start or (held and last != keys[-1])):
+            yield pa.Table.from_batches([*held, batch.slice(0, start)] if start else held)
+            held, size = [], 0
+            batch = batch.slice(start)
+        held.append(batch)
+        size += batch.num_rows
         last = keys[-1]
     if held:
         yield pa.Table.from_batches(held)

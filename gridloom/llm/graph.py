@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import folder, remove
 
 
-def _digest(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _written(edges: DataFrame) -> tuple[str, DataFrame, tuple]:
+    """(folder, edges as written there, their number and digest); the latter are taken while writing."""
+    spark = edges.sparkSession
+    path, seen = f"{folder(spark)}/{uuid.uuid4().hex}", Observation()
+    edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")).write.parquet(path)
+    return path, spark.read.schema(edges.schema).parquet(path), (seen.get["n"], seen.get["digest"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,14 +34,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the smallest node of its component.
 
-    Self loops are dropped; an empty table of edges gives an empty result. Each round is written to the shared
-    folder, so a lost executor costs one round at most. The rounds end when the edges no longer change.
+    Self loops are dropped; an empty table of edges gives an empty result. Each round is written to the shared folder, so
+    a lost executor costs one round at most; the table of the round before goes. The rounds end when the edges no longer
+    change.
     """
-    now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _digest(now)
+    path, now, before = _written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while before[0]:
-        now = cut(_small_star(_large_star(now)))
-        after = _digest(now)
+        after_path, now, after = _written(_small_star(_large_star(now)))
+        remove(now.sparkSession, path)
+        path = after_path
         if after == before:
             break
         before = after

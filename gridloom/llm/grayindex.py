@@ -8,8 +8,8 @@ import numpy as np
 
 #: Children of a node, and members of a leaf.
 FAN = 16
-#: Queries that descend the tree together.
-QUERIES = 512
+#: Queries that descend the tree together, and meetings of queries and nodes looked at at once: they bound the memory.
+QUERIES, MEETINGS = 512, 1 << 17
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -21,48 +21,71 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Codes in Gray order under a tree of shared bit patterns.
+    """Codes in Gray order, block by block, under one tree of shared bit patterns.
 
     levels[0] describes runs of FAN neighbouring codes, levels[i] runs of FAN nodes of levels[i - 1]. A node holds the
     mask of the bits on which all codes below it agree and their values; the bits that its parent already fixed are
-    left out, so differences add up along a path and a whole group is dropped once the sum passes the radius.
+    left out, so differences add up along a path and a whole group is dropped once the sum passes the radius. A node also
+    holds the first and last block below it; groups of other blocks are dropped, too.
+
+    met, far, other count the meetings of a query and a node that were looked at, and those of them that ended there
+    because the differences passed the radius, or else because the node's blocks were others (or lay behind the query).
     """
 
-    def __init__(self, codes: np.ndarray):
-        """codes: uint64, sorted by gray_rank."""
+    def __init__(self, codes: np.ndarray, block: np.ndarray | None = None):
+        """codes: uint64, sorted by (block, gray_rank); block: ascending whole numbers, by default one for all."""
         self.codes = codes
-        mask, pattern, levels = np.full(len(codes), ~np.uint64(0)), codes, []
+        self.block = np.zeros(len(codes), dtype=np.int64) if block is None else block
+        self.met = self.other = self.far = 0
+        mask, pattern, low, high = np.full(len(codes), ~np.uint64(0)), codes, self.block, self.block
+        levels = []
         while not levels or len(mask) > FAN:
             starts = np.arange(0, len(mask), FAN)
             ones, zeros = np.bitwise_and.reduceat(pattern | ~mask, starts), np.bitwise_or.reduceat(pattern & mask, starts)
             agree = np.bitwise_and.reduceat(mask, starts) & ~(ones ^ zeros)
-            mask, pattern = agree, zeros & agree
-            levels.append((mask, pattern))
+            mask, pattern, low, high = agree, zeros & agree, low[starts], np.maximum.reduceat(high, starts)
+            levels.append((mask, pattern, low, high))
         self.levels = []
-        for i, (mask, pattern) in enumerate(levels):
+        for i, (mask, pattern, low, high) in enumerate(levels):
             own = mask & ~np.repeat(levels[i + 1][0], FAN)[: len(mask)] if i + 1 < len(levels) else mask
-            self.levels.append((own, pattern))
+            self.levels.append((own, pattern, low, high))
         self.rest = ~np.repeat(levels[0][0], FAN)[: len(codes)]
 
     def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (i, j), i < j, of all codes that differ in at most radius bits, a bounded block at a time."""
-        n = len(self.codes)
+        """Positions (i, j), i < j, of all codes of one block that differ in at most radius bits, a bounded part at a time."""
+        n, top = len(self.codes), len(self.levels) - 1
+        roots = len(self.levels[top][0])
         for first in range(0, n, QUERIES):
             q = np.arange(first, min(n, first + QUERIES))
-            top = len(self.levels[-1][0])
-            query, node, sums = np.repeat(q, top), np.tile(np.arange(top), len(q)), np.zeros(len(q) * top, dtype=np.int16)
-            for depth in range(len(self.levels) - 1, -1, -1):
-                mask, pattern = self.levels[depth]
+            stack = [(top, np.repeat(q, roots), np.tile(np.arange(roots), len(q)), np.zeros(len(q) * roots, dtype=np.int16))]
+            while stack:
+                depth, query, node, sums = stack.pop()
+                if len(query) > MEETINGS:
+                    stack.append((depth, query[MEETINGS:], node[MEETINGS:], sums[MEETINGS:]))
+                    query, node, sums = query[:MEETINGS], node[:MEETINGS], sums[:MEETINGS]
+                mask, pattern, low, high = self.levels[depth]
+                own = self.block[query]
+                same = (low[node] <= own) & (own <= high[node]) & ((node + 1) * FAN ** (depth + 1) > query)
                 sums = sums + np.bitwise_count((self.codes[query] ^ pattern[node]) & mask[node])
-                keep = (sums <= radius) & ((node + 1) * FAN ** (depth + 1) > query)
+                keep = same & (sums <= radius)
+                self.met += len(query)
+                self.far += int((sums > radius).sum())
+                self.other += int((~same & (sums <= radius)).sum())
                 query, node, sums = query[keep], node[keep], sums[keep]
+                if not len(query):
+                    continue
                 below = len(self.levels[depth - 1][0]) if depth else n
                 query, sums = np.repeat(query, FAN), np.repeat(sums, FAN)
                 node = (node[:, None] * FAN + np.arange(FAN)).ravel()
                 real = node < below
                 query, node, sums = query[real], node[real], sums[real]
-            near = (node > query) & (sums + np.bitwise_count((self.codes[query] ^ self.codes[node]) & self.rest[node]) <= radius)
-            yield query[near], node[near]
+                if depth:
+                    stack.append((depth - 1, query, node, sums))
+                    continue
+                near = (node > query) & (self.block[query] == self.block[node])
+                query, node, sums = query[near], node[near], sums[near]
+                near = sums + np.bitwise_count((self.codes[query] ^ self.codes[node]) & self.rest[node]) <= radius
+                yield query[near], node[near]
 
 
 def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -74,5 +97,5 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             return
         a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
         np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while (up := label[label]).tolist() != label.tolist() if len(label) < 64 else not np.array_equal(up := label[label], label):
+        while not np.array_equal(up := label[label], label):
             label[:] = up

@@ -3,7 +3,7 @@
 Slots. Slot i of the mix takes the point frac((i + 1) / golden ratio) through the cumulative targets to a source, so any
 stretch of the mix holds the sources in their shares. A slot's rank among the slots of its source is the block it takes.
 
-Blocks. A source's documents are shuffled by the MD5 of their id and laid end to end, again and again, up to the
+Blocks. A source's documents are shuffled by the MD5 of their id (then by id, size and digest of the text) and laid end to end, again and again, up to the
 source's target; this stretch is cut into as many equal-token blocks as the source has slots. Slots and blocks join on
 (source, rank). A block gives pieces of documents, so every source meets its target to the word.
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, cut
+from gridloom.llm.common import WORD, cut, packed
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -83,19 +83,16 @@ def schedule(goals: DataFrame) -> DataFrame:
     goals: one row for each source, small. A source whose target no point hits gets one slot behind the others.
     """
     spark = goals.sparkSession
-    rows = goals.filter("words > 0").orderBy("ord").select("ord", "words").collect()  # one row for each source
-    total = sum(r.words for r in rows)
+    total, sources = goals.filter("words > 0").agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
     if not total:
         return spark.createDataFrame([], "slot long, ord int, rank long, slots long")
     n = max(1, min(SLOTS, total // LEAST_BLOCK))
-    edges, reached = [], 0
-    for r in rows:
-        edges.append((reached / total, (reached + r.words) / total, r.ord))
-        reached += r.words
-    cuts = spark.createDataFrame(edges, "low double, high double, ord int")
+    reached = F.sum("words").over(W.orderBy("ord"))  # one row for each source
+    cuts = goals.filter("words > 0").select("ord", ((reached - F.col("words")) / total).alias("low"), (reached / total).alias("high"))
+    cells = max(64, min(4 * sources, SLOTS))
     point = ((F.col("slot") + 1) * F.lit(GOLDEN)) % 1.0
-    cell = F.floor(F.col("point") * 64)
-    ranges = cuts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * 64), F.least(F.floor(F.col("high") * 64), F.lit(63)))))
+    cell = F.floor(F.col("point") * cells)
+    ranges = cuts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))))
     slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", cell)
     hit = slots.join(small(ranges), "cell").filter("point >= low and (point < high or high >= 1.0)").select("slot", "ord")
     hit = hit.groupBy("slot").agg(F.min("ord").alias("ord"))
@@ -118,7 +115,7 @@ def placed(sized: DataFrame, goals: DataFrame) -> DataFrame:
     rows = rows.withColumn("range", F.substring("shuffle", 1, DIGITS))
     sums = rows.groupBy("ord", "range").agg(F.sum("size").alias("n"))
     sums = sums.select("ord", "range", (F.sum("n").over(W.partitionBy("ord").orderBy("range")) - F.col("n")).alias("base"))
-    inner = W.partitionBy("ord", "range").orderBy("shuffle", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("ord", "range").orderBy("shuffle", "doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     return rows.join(sums, ["ord", "range"]).withColumn("start", F.col("base") + F.col("inner")).drop("range", "base", "inner", "shuffle")
 
@@ -127,8 +124,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(rows, pieces).
 
     rows: doc_id, source, size, text_key, source_size, target, words, ord, start, row for every row of docs; row is a running
-    number of rows. pieces: slot, row, first, taken: the words [first, first + taken) of the row's text that a slot of
-    the mix takes. Reruns agree: the shuffle follows doc_id, repeated rows can't be told apart. Null and empty texts
+    number of rows. pieces: slot, row, epoch, first, taken: the words [first, first + taken) of the row's text that a
+    slot of the mix takes. Reruns agree: the shuffle follows id and text, and equal rows
+    can't be told apart. Null and empty texts
     have size 0 and are never taken; a null source is a source of its own, last in order; a source without words has
     target 0. An empty table gives empty results. Other columns are left out, so their names can't clash.
     """
@@ -149,7 +147,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     pieces = laid.withColumn("rank", F.explode(F.sequence(block("begin"), block("(end - 1)"))))
     pieces = pieces.withColumns({"low": F.greatest("begin", edge("rank")), "high": F.least("end", edge("(rank + 1)"))}).filter("low < high")
-    pieces = pieces.join(slots.select("slot", "ord", "rank"), ["ord", "rank"]).select("slot", "row", (F.col("low") - F.col("begin")).alias("first"), (F.col("high") - F.col("low")).alias("taken"))
+    pieces = pieces.join(slots.select("slot", "ord", "rank"), ["ord", "rank"]).select("slot", "row", "epoch", (F.col("low") - F.col("begin")).alias("first"), (F.col("high") - F.col("low")).alias("taken"))
     return rows, pieces
 
 
@@ -166,23 +164,27 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs as the mix takes them, whole: each row as often as the mix takes its words, to the nearest whole number.
+    """docs as the mix takes them, whole and in its order: a row stands where the slot begins that takes its first word.
 
-    Only the document at the end of a source's stretch is taken in part, so the rounding moves one document for each
-    source. Rows with the same id, text and source count as one with the copies of all. Texts without words are never
-    taken. The columns stay as they are.
+    A copy is there if the mix takes at least half of its words; only the document at the end of a source's stretch is
+    taken in part, so the rounding moves one document for each source. The result is range-partitioned and sorted by
+    slot, so the written files follow the schedule. Repeated rows give the copies of all of them. Null and empty texts
+    are never taken; a null source is a source of its own. An empty table gives an empty one. The columns stay as they
+    are, whatever their names.
     """
-    used = taken_rows(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5)
-    counts = used.filter("taken > 0").withColumn("copies", copies).groupBy("doc_id", "source", "text_key").agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
-    counts = cut(counts.filter(F.col("__copies") > 0).select(_plain(F.col("doc_id")).alias("__id"), _plain(F.col("source")).alias("__source"), F.col("text_key").alias("__key"), "__copies", "__rows"))
-    keyed = docs.withColumns({"__id": _plain(F.col(id_col).cast("long")), "__source": _plain(F.col(source_col)), "__key": _text_key(F.col(text_col))})
-    on = ["__id", "__source", "__key"]
-    out = keyed.join(counts.filter(F.col("__rows") == 1), on)
-    repeated = counts.filter(F.col("__rows") > 1)
+    rows, pieces = mix(docs, id_col, text_col, source_col, **options)
+    copies = pieces.groupBy("row", "epoch").agg(F.sum("taken").alias("taken"), F.min_by("slot", "first").alias("slot"))
+    on = ["id", "origin", "text_key"]
+    placed_ = copies.join(rows.select("row", "size", _plain(F.col("doc_id")).alias("id"), _plain(F.col("source")).alias("origin"), "text_key"), "row").filter("2 * taken >= size")
+    placed_ = cut(placed_.select(*on, "row", "slot"))
+    counts = placed_.groupBy(*on).agg(F.count_distinct("row").alias("rows"))
+    keyed = packed(docs, id=_plain(F.col(id_col).cast("long")), origin=_plain(F.col(source_col)), text_key=_text_key(F.col(text_col)))
+    repeated = cut(counts.filter("rows > 1").select(*on))
     if not repeated.isEmpty():
-        out = out.unionByName(keyed.join(repeated, on).dropDuplicates(on))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+        once = keyed.join(repeated, on, "left_semi").groupBy(*on).agg(F.first("row").alias("row"))
+        keyed = keyed.join(repeated, on, "left_anti").unionByName(once)
+    out = keyed.join(placed_.select(*on, "slot"), on)
+    return out.repartitionByRange("slot", "id", "text_key").sortWithinPartitions("slot", "id", "text_key").select("row.*")
 
 
 def _plain(column: Column) -> Column:

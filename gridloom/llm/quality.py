@@ -1,10 +1,11 @@
 """Quality rules by cross-document line frequency.
 
 Lines are normalised (words joined by one space, A-Z lowered, digits to 0) and hashed. For each host, a line counts
-once for each distinct text that holds it, so exact copies of one page don't make its lines common. A line is removed
-if more than max(LEAST, SHARE of the host's distinct texts) hold it. A document is depleted, and rejected, if the
-removal leaves less than KEEP of its words; a short document that loses one line stays. The limits follow the host's
-size, so a larger corpus isn't cut harder than a small one. The host is the document's source; null is a host of its own.
+once for each distinct document that holds it; exact copies of one text are one document, so copies don't make their own
+lines common. A line is removed if more than LIMIT documents of the host hold it, an absolute number, so a banner goes
+from a host of thirty pages as from one of a hundred million. A document is depleted, and rejected, if the removal leaves
+less than KEEP of its words; a short document that loses one line stays. The host is the document's source; null is a
+host of its own.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, raw, small_batches
+from gridloom.llm.common import cut, join_spread, packed, raw, small_batches
 
 MIN_WORDS = 50
 #: A document fails the base rules if more than this many hundredths of its words stand in repeated windows.
 MAX_REPEAT = 50
-LEAST = 20
-SHARE = 0.1
+#: Distinct documents of a host that may hold a line before it is removed.
+LIMIT = 10
 KEEP = 0.3
 #: Removed lines up to this number (16 bytes of key each) are broadcast; beyond it the join shuffles.
 BROADCAST_LINES = 100_000
@@ -112,31 +113,36 @@ def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
-def removed_lines(base: DataFrame) -> DataFrame:
-    """(host, text_key, removed, drop): words removed from a text of a host, and the hashes of the lines that go."""
-    texts = base.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
+def removed_lines(base: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(host, text_key, n, failed, n_words, removed, drop) for each distinct text of a host: its rows, its base verdict, its
+    words, those in lines that go, and the hashes of these lines."""
+    texts = base.groupBy("host", "text_key").agg(F.first("lines").alias("lines"), F.count("*").alias("n"), F.max(_failed()).alias("failed"), F.max("n_words").alias("n_words"))
+    texts = cut(texts)
     lines = texts.select("host", "text_key", F.inline("lines"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    common = lines.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > LEAST)
-    common = cut(common.join(hosts, "host").filter(F.col("n") > SHARE * F.col("texts")).select("host", "h"))
-    if common.count() <= BROADCAST_LINES:
-        common = F.broadcast(common)
-    return lines.join(common, ["host", "h"]).groupBy("host", "text_key").agg(F.sum("w").alias("removed"), F.collect_set("h").alias("drop"))
+    common = cut(lines.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > limit))
+    held = lines.join(F.broadcast(common.drop("n")), ["host", "h"]) if common.count() <= BROADCAST_LINES else join_spread(lines, common, ["host", "h"])
+    gone = held.groupBy("host", "text_key").agg(F.sum("w").alias("removed"), F.collect_set("h").alias("drop"))
+    found = texts.drop("lines").join(gone, ["host", "text_key"], "left")
+    return found.withColumn("removed", F.coalesce("removed", F.lit(0).cast("long")))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def _depleted() -> Column:
+    return F.col("n_words") - F.col("removed") < KEEP * F.col("n_words")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept) for every row.
 
-    A null or empty text has no words and fails the base rules. Repeated rows give repeated results; a null id stays
-    null. An empty table gives an empty result. Other columns of docs are left out, so their names can't clash.
+    A null or empty text has no words and fails the base rules; whole texts are read, however long. Repeated rows give
+    repeated results; a null id stays null. An empty table gives an empty result. Other columns of docs are left out, so
+    their names can't clash.
     """
     base = cut(base_rules(docs, id_col, text_col, host_col))
-    found = base.drop("lines").join(removed_lines(base).drop("drop"), ["host", "text_key"], "left")
-    removed = F.coalesce("removed", F.lit(0).cast("long"))
-    left = F.col("n_words") - removed
+    texts = cut(removed_lines(base, limit).select("host", "text_key", "removed", "n"))
+    found = join_spread(base.drop("lines"), texts, ["host", "text_key"])
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"),
-        removed.alias("removed_words"), (~_failed() & (left >= KEEP * F.col("n_words"))).alias("kept"),
+        F.col("removed").alias("removed_words"), (~_failed() & ~_depleted()).alias("kept"),
     )
 
 
@@ -150,13 +156,16 @@ def _without(text: Column, drop: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(drop, hashed(line))), "\n")
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs without rejected documents, and with common lines taken out of the texts; the columns stay as they are."""
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT) -> DataFrame:
+    """docs without rejected documents, and with common lines taken out of the texts.
+
+    Null and empty texts are rejected; whole texts are read, however long. Repeated rows are judged alike and all stay or
+    go; a null id or host is a value like others. An empty table gives an empty one. The columns stay as they are,
+    whatever their names.
+    """
     base = cut(base_rules(docs, id_col, text_col, host_col))
-    texts = base.withColumn("failed", _failed()).groupBy("host", "text_key").agg(F.max("n_words").alias("n_words"), F.max("failed").alias("failed"))
-    left = F.col("n_words") - F.coalesce("removed", F.lit(0).cast("long"))
-    kept = texts.filter(~F.col("failed")).join(removed_lines(base), ["host", "text_key"], "left").filter(left >= KEEP * F.col("n_words"))
-    kept = kept.select(F.col("host").alias("__host"), F.col("text_key").alias("__key"), F.col("drop").alias("__drop"))
-    found = docs.withColumns({"__host": _host(F.col(host_col)), "__key": _key(F.col(text_col))}).join(kept, ["__host", "__key"])
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("__drop")))
-    return found.withColumn(text_col, text).select(docs.columns)
+    kept = cut(removed_lines(base, limit).filter(~F.col("failed") & ~_depleted()).select("host", "text_key", "drop", "n"))
+    found = join_spread(packed(docs, host=_host(F.col(host_col)), text_key=_key(F.col(text_col))), kept, ["host", "text_key"])
+    text = F.col("row")[text_col]
+    cleaned = F.when(F.col("drop").isNull(), text).otherwise(_without(text, F.col("drop")))
+    return found.select(F.col("row").withField(f"`{text_col}`", cleaned).alias("row")).select("row.*")

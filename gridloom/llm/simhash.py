@@ -1,13 +1,16 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Texts become 64-bit fingerprints. Equal fingerprints are one vertex. Vertices that may lie within the radius meet in
-blocks (below); in each block the fingerprints are sorted by Gray rank and put under a tree of shared bit patterns
-(grayindex), whose groups are dropped as a whole once the accumulated differences pass the radius. A block gives only
-as many links as its classes need, not all pairs. The classes of all blocks are joined by stars (graph).
-
-Blocks. Two fingerprints that differ in at most 3 of their bits agree on at least one of 4 equal segments, so each
-fingerprint goes to 4 blocks, one for each segment. A block of more than BLOCK fingerprints is dealt again by 4
-segments of the bits that are left, which loses no pair, and so on (16, 12 and 9 bits: 37 fixed bits at the end).
+Texts become 64-bit fingerprints. Equal fingerprints are one vertex. Vertices are sorted by Gray rank, four times: each
+time another quarter of the bits leads. A table sorted so is cut into ranges, one for each partition, and each partition
+puts its codes under a tree of shared bit patterns (grayindex): a fingerprint descends the tree and drops whole groups
+once the accumulated differences pass the radius. A partition gives only as many links as its classes need, not all
+pairs. The classes are joined by stars (graph).
+
+Why four orders. Two fingerprints that differ in at most 3 of their bits agree on at least one of 4 equal segments, so in
+one of the orders both lie in the run of codes with that leading segment, a block. Ranges are cut between blocks, and a
+group of other blocks counts as too far, so no group has to be sent to all the ranges that 3 flipped leading bits reach.
+A block of more than BLOCK fingerprints is dealt again by 4 segments of the bits that are left, which loses no pair, and
+so on; once 16 bits are left a block can't hold more than 65,536 codes.
 """
 
 from __future__ import annotations
@@ -20,15 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_key, cut, raw, small_batches
+from gridloom.llm.common import by_key, cut, join_spread, raw, small_batches
 from gridloom.llm.graph import components
 from gridloom.llm.grayindex import GrayIndex, gray_rank, merge
 
 SEED = 42
-#: Fingerprints in a block before it is dealt again.
-BLOCK = 20_000
-#: Blocks up to this size are compared directly, as one leaf.
-LEAF = 24
+#: Fingerprints in a block before it is dealt again, and bits left from which on it isn't.
+BLOCK, LAST_BITS = 20_000, 16
+#: Codes under one tree at least, where a partition has as many.
+TREE = 1 << 16
 
 #: For each byte, its bits in 8 byte lanes, first bit first.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -77,15 +80,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return frame.mapInArrow(rows, "doc_id long, fp long")
 
 
+def _rank(bits: Column, width: int) -> Column:
+    """Gray rank of a number of so many bits."""
+    step = 1
+    while step < width:
+        bits = bits.bitwiseXOR(F.shiftrightunsigned(bits, step))
+        step *= 2
+    return bits
+
+
 def _deal(rows: DataFrame, width: int) -> DataFrame:
-    """Deal (key, rest, fp) to the blocks of 4 equal segments of the `width` bits in rest."""
+    """Deal (key, rest, fp) to the blocks of 4 equal segments of the `width` bits in rest.
+
+    The first keys number the blocks of each order by the Gray rank of the leading segment; later ones are hashes.
+    """
     size = width // 4
 
     def block(j: int) -> Column:
         segment = F.shiftrightunsigned("rest", j * size).bitwiseAND(F.lit((1 << size) - 1))
         low = F.col("rest").bitwiseAND(F.lit((1 << (j * size)) - 1))
-        high = F.shiftleft(F.shiftrightunsigned("rest", (j + 1) * size), j * size) if j < 3 else F.lit(0).cast("long")
-        return F.struct(F.xxhash64("key", F.lit(j), segment).alias("key"), low.bitwiseOR(high).alias("rest"))
+        high = F.shiftleft(F.shiftrightunsigned("rest", (j + 1) * size), j * size) if j < 3 or width % 4 else F.lit(0).cast("long")
+        key = F.lit(j << size).cast("long") + _rank(segment, size) if width == 64 else F.xxhash64("key", F.lit(j), segment)
+        return F.struct(key.alias("key"), low.bitwiseOR(high).alias("rest"))
 
     return rows.select("fp", F.inline(F.array(*(block(j) for j in range(4)))))
 
@@ -95,7 +111,7 @@ def blocks(vertices: DataFrame) -> DataFrame:
     rows, parts, width = vertices.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("long").alias("key")), [], 64
     while True:
         rows, width = _deal(rows, width), width - width // 4
-        if width <= 27:
+        if width <= LAST_BITS:
             parts.append(rows)
             break
         hot = cut(rows.groupBy("key").count().filter(F.col("count") > BLOCK).select("key"))
@@ -110,47 +126,54 @@ def blocks(vertices: DataFrame) -> DataFrame:
     return out
 
 
-def _link(table: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join each class of each block to its smallest member."""
+def tree_of(table: pa.Table) -> GrayIndex:
+    """The index over all blocks of a table (key, fp)."""
     keys = table.column("key").to_numpy()
     codes = table.column("fp").to_numpy().view(np.uint64)
     order = np.lexsort((gray_rank(codes), keys))
     keys, codes = keys[order], codes[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    block = np.repeat(np.arange(len(starts)), sizes)
-    out_a, out_b = [], []
-    small = sizes[block] <= LEAF
-    for d in range(1, LEAF):
-        i = np.flatnonzero(small[:-d] & (block[:-d] == block[d:]) & (np.bitwise_count(codes[:-d] ^ codes[d:]) <= radius)) if len(codes) > d else np.empty(0, np.int64)
-        out_a.append(codes[i])
-        out_b.append(codes[i + d])
-        if not (sizes > d + 1).any():
-            break
-    for b in np.flatnonzero(sizes > LEAF):
-        own = codes[starts[b] : starts[b] + sizes[b]]
-        label = np.arange(len(own))
-        for i, j in GrayIndex(own).pairs(radius):
-            merge(label, i, j)
-        moved = np.flatnonzero(label != np.arange(len(own)))
-        out_a.append(own[moved])
-        out_b.append(own[label[moved]])
-    return np.concatenate(out_a).view(np.int64), np.concatenate(out_b).view(np.int64)
+    return GrayIndex(codes, np.cumsum(np.r_[False, keys[1:] != keys[:-1]]))
 
 
-def links(vertices: DataFrame, radius: int = 3) -> DataFrame:
-    """(u, v): links whose classes are those of all pairs of fingerprints within radius (at most 3) bits."""
+def _link(tree: GrayIndex, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join each class of each block to its smallest member."""
+    label = np.arange(len(tree.codes))
+    for i, j in tree.pairs(radius):
+        merge(label, i, j)
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return tree.codes[moved].view(np.int64), tree.codes[label[moved]].view(np.int64)
+
+
+def _dealt(vertices: DataFrame, radius: int) -> DataFrame:
     if not 0 <= radius <= 3:
         raise ValueError("the blocks hold for at most 3 differing bits")
+    small_batches(vertices.sparkSession)
+    return blocks(vertices).repartitionByRange("key").sortWithinPartitions("key")
+
+
+def links(vertices: DataFrame, radius: int = 3) -> DataFrame:
+    """(u, v): links whose classes are those of all pairs of fingerprints within radius (at most 3) bits."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, "key"):
-            u, v = _link(table, radius)
+        for table in by_key(batches, "key", TREE):
+            u, v = _link(tree_of(table), radius)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    small_batches(vertices.sparkSession)
-    dealt = blocks(vertices).repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(rows, "u long, v long")
+    return _dealt(vertices, radius).mapInArrow(rows, "u long, v long")
+
+
+def report(vertices: DataFrame, radius: int = 3) -> DataFrame:
+    """(codes, nodes, met, other, far, near) of each tree that links builds: how many meetings of a fingerprint and a group
+    were looked at, how many groups were dropped as other blocks or as too far, and the near pairs found."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_key(batches, "key", TREE):
+            tree = tree_of(table)
+            near = sum(len(i) for i, _ in tree.pairs(radius))
+            found = [len(tree.codes), sum(len(x[0]) for x in tree.levels), tree.met, tree.other, tree.far, near]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in found], names=["codes", "nodes", "met", "other", "far", "near"])
+
+    return _dealt(vertices, radius).mapInArrow(rows, "codes long, nodes long, met long, other long, far long, near long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
@@ -163,9 +186,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of docs are left out, so their names can't clash.
     """
     signed = cut(fingerprints(docs, id_col, text_col, words))
-    vertices = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    vertices = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = cut(components(links(vertices, radius)).withColumnRenamed("node", "fp"))
     least = roots.join(vertices, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     classes = vertices.join(roots.join(least, "root").select("fp", "component_id"), "fp", "left")
-    classes = classes.select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return signed.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = cut(classes.select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"))
+    return join_spread(signed, classes, ["fp"]).select("doc_id", "fp", "component_id")

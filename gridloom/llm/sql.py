@@ -6,7 +6,7 @@ WORDS = r"len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\
 
 MIXING = rf"""
 with sized as (
-  select doc_id, source, {WORDS}::bigint as size, md5(coalesce(doc_id::varchar, '')) as shuffle from documents
+  select doc_id, source, {WORDS}::bigint as size, md5(coalesce(doc_id::varchar, '')) as shuffle, coalesce(md5(text), '-') as text_key from documents
 ), listed as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) - 1 as ord from sized group by source
 ), weighed as (
@@ -23,7 +23,7 @@ with sized as (
     else (weight * (total - cw))::double / (weight_total - cweight)::double end as target from shared
 ), placed as (
   select s.doc_id, s.size, g.source_size, g.target, floor(g.target + 0.5)::bigint as words,
-    coalesce(sum(s.size) over (partition by s.source order by s.shuffle, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+    coalesce(sum(s.size) over (partition by s.source order by s.shuffle, s.doc_id, s.size, s.text_key rows between unbounded preceding and 1 preceding), 0)::bigint as start
   from sized s join goals g on s.source is not distinct from g.source
 )
 select doc_id, size, source_size, target, (
@@ -66,11 +66,8 @@ with docs as (
   select r, (count(*) - count(distinct line))::bigint as n_dup_lines from folded group by r
 ), firsts as (
   select min(r) as r, host from docs group by host, text
-), hosts as (
-  select host, count(*) as texts from firsts group by host
 ), common as (
-  select host, norm from (select f.host, norm, count(distinct f.r) as n from firsts f join folded using (r) group by f.host, norm) join hosts using (host)
-  where n > 20 and n > 0.1 * texts
+  select f.host, norm from firsts f join folded using (r) group by f.host, norm having count(distinct f.r) > 10
 ), gone as (
   select r, sum(w)::bigint as removed from folded join docs using (r) join common using (host, norm) group by r
 ), counted as (

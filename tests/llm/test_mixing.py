@@ -61,6 +61,24 @@ def test_schedule_keeps_shares_in_every_stretch(spark):
     assert max(blocks) - min(blocks) <= 0.05 * max(blocks)
 
 
+def test_rows_follow_the_schedule(spark):
+    docs = make(spark, [(i, f"w{i} " * 500, "abc"[i % 3]) for i in range(600)])
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    order = [r.source for r in out.collect()]
+    assert len(order) == 600
+    share = {s: order.count(s) / 600 for s in "abc"}
+    assert share == {"a": 1 / 6, "b": 1 / 3, "c": 1 / 2}
+    for at in range(0, 540, 30):
+        assert all(abs(order[at : at + 60].count(s) - 60 * share[s]) <= 5 for s in "abc")
+
+
+def test_ties_go_by_text(spark):
+    rows = [(1, "a b c", "x"), (1, "d e f", "x"), (1, "g h i", "x"), (2, "w " * 30, "y")]
+    first = sorted(tuple(r) for r in mixing.taken_rows(make(spark, rows)).collect())
+    assert all(sorted(tuple(r) for r in mixing.taken_rows(make(spark, [rows[i] for i in p])).collect()) == first for p in ((2, 1, 0, 3), (3, 1, 2, 0)))
+
+
 def test_empty(spark):
     assert mixing.taken(make(spark, [])).collect() == []
     assert [r.taken for r in mixing.taken(make(spark, [(1, None, None)])).collect()] == [0]

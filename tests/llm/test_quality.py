@@ -62,6 +62,34 @@ def test_lines_and_verdicts(spark):
     assert texts[3] == unique(3) and texts[300] == f"{unique(600)}\n{boiler % 0}"
 
 
+def test_limit_is_absolute(spark):
+    # Eleven pages share a line: it goes from a host of eleven pages as from one of many; ten do not suffice.
+    rows = [(i, f"{unique(i)}\nthe banner", "small") for i in range(11)] + [(100 + i, f"{unique(100 + i)}\nthe banner" if i < 11 else unique(100 + i), "large") for i in range(300)]
+    rows += [(500 + i, f"{unique(500 + i)}\nthe banner", "ten") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    removed = {r.doc_id for r in quality.judge(docs).filter("removed_words > 0").collect()}
+    assert removed == set(range(11)) | set(range(100, 111))
+
+
+def test_hot_text_and_many_lines(spark, monkeypatch):
+    from gridloom.llm import common
+
+    rows = [(i, f"{unique(i % 3)}\nline {'abc'[i % 3]}", "h") for i in range(60)] + [(200 + i, f"{unique(100 + i)}\nbanner", "h") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, quality.judge(docs).collect())), sorted(map(tuple, quality.apply_rules(docs).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
+    assert (sorted(map(tuple, quality.judge(docs).collect())), sorted(map(tuple, quality.apply_rules(docs).collect()))) == want
+
+
+def test_method_changes_verdicts(spark):
+    # Pages that hold little but lines of their host pass the base rules and fail by depletion.
+    menu = [f"menu entry number {unique(i, 6)}" for i in range(12)]
+    rows = [(i, "\n".join(menu) + "\n" + unique(i, 12), "shop") for i in range(30)] + [(100 + i, unique(100 + i) + "\n" + menu[0], "shop") for i in range(5)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(not got[i].base_failed and not got[i].kept for i in range(30)) and all(got[100 + i].kept and got[100 + i].removed_words > 0 for i in range(5))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality.judge(docs).collect() == [] and quality.apply_rules(docs).collect() == []

@@ -86,6 +86,39 @@ def test_hot_blocks_are_dealt_again(spark, monkeypatch):
     assert have == want
 
 
+def test_the_index_serves_the_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    vertices = simhash.fingerprints(docs).select("fp").distinct().cache()
+    n = vertices.count()
+    got = [r.asDict() for r in simhash.report(vertices).collect()]
+    assert sum(r["codes"] for r in got) == 4 * n and all(r["nodes"] >= r["codes"] / 16 for r in got)
+    pairs = sum(r["codes"] * (r["codes"] - 1) // 2 for r in got)
+    met, dropped = sum(r["met"] for r in got), sum(r["other"] + r["far"] for r in got)
+    assert dropped > met / 2 and met < pairs / 5 and sum(r["far"] for r in got) > 0
+
+
+def test_index_by_blocks(monkeypatch):
+    from gridloom.llm import grayindex
+
+    monkeypatch.setattr(grayindex, "MEETINGS", 100)
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 2**12, 500, dtype=np.uint64)
+    block = np.sort(rng.integers(0, 40, 500))
+    codes = codes[np.lexsort((gray_rank(codes), block))]
+    codes = np.concatenate([c[np.argsort(gray_rank(c), kind="stable")] for c in (codes[block == b] for b in range(40))])
+    got = {(int(i), int(j)) for a, b in GrayIndex(codes, block).pairs(3) for i, j in zip(a, b, strict=True)}
+    assert got == {(i, j) for i in range(500) for j in range(i + 1, 500) if block[i] == block[j] and int(codes[i] ^ codes[j]).bit_count() <= 3}
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    from gridloom.llm import common
+
+    rows = [(i, "a b c d") for i in range(30)] + [(100 + i, f"x{i} y{i} z{i}") for i in range(20)] + [(None, "a b c d"), (200, None)]
+    want = run(spark, rows)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    assert run(spark, rows) == want == brute(rows)
+
+
 def test_index_finds_all_pairs():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 2**63, 700, dtype=np.uint64) & np.uint64(0xFFFF0000FFFF)

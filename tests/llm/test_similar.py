@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from math import comb
 
+import pytest
+
 from gridloom.llm import similar
 
 
@@ -51,9 +53,9 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == sorted(brute(rows), key=str)
 
 
-def test_hot_blocks(spark, monkeypatch):
-    monkeypatch.setattr(similar, "BLOCK", 4)
-    rnd = random.Random(8)
+def hot_corpus(seed):
+    """Near copies of one text, unlike texts that share a long passage, and a second group that joins the passage, too."""
+    rnd = random.Random(seed)
     base = [f"w{rnd.randrange(500)}" for _ in range(300)]
     rows = make(2, 15)
     for i in range(30):
@@ -61,6 +63,33 @@ def test_hot_blocks(spark, monkeypatch):
         for _ in range(rnd.randint(0, 4)):
             copy[rnd.randrange(300)] = f"x{i}"
         rows.append((1000 + i, " ".join(copy)))
+    passage = " ".join(f"p{i}" for i in range(60))
+    for i in range(30):
+        own = [f"q{i}x{k}" for k in range(30)]
+        rows.append((2000 + 2 * i, passage + " " + " ".join(own)))
+        if i % 3 == 0:
+            own[7] = "other"
+            rows.append((2001 + 2 * i, passage + " " + " ".join(own)))
+    for i in range(20):
+        copy = list(base[:40])
+        copy[rnd.randrange(40)] = f"y{i}"
+        rows.append((3000 + i, passage + " " + " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [4, 12, 40])
+def test_hot_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "ANCHORS", 2)
+    rows = hot_corpus(8)
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+
+
+def test_hot_blocks_keep_links_without_anchors(spark, monkeypatch):
+    # The first pass joins little; the second has to find the links between chunks.
+    monkeypatch.setattr(similar, "BLOCK", 5)
+    monkeypatch.setattr(similar, "ANCHORS", 0)
+    rows = hot_corpus(9)
     assert run(spark, rows) == sorted(brute(rows), key=str)
 
 

@@ -30,6 +30,18 @@ def test_given_rules(spark):
     check(spark, urls + urls[:4], URL_RULES)
 
 
+def test_very_long_urls(spark):
+    long = "/en/1" + "x" * 1_000_000
+    check(spark, [f"http://example.org{long}", "http://" + "a." * 200_000 + "com/de/" + "y" * 500_000, "http://" + "z" * 1_000_000 + "/fr/", "http://com" + long], URL_RULES)
+
+
+def test_hot_host(spark, monkeypatch):
+    from gridloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    check(spark, [f"http://www.example.org/es/{i}" for i in range(60)] + [f"http://a{i}.com/de/{i}" for i in range(30)], URL_RULES)
+
+
 def test_random_nested_rules(spark):
     rnd = random.Random(9)
     def label():
