@@ -130,6 +130,24 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str, least: int = 1) -> Itera
         yield pa.Table.from_batches(held)
 
 
+class Memory(dict):
+    """Ids of pieces of text: what is remembered, and besides it the long pieces of the texts at hand."""
+
+    #: What an entry costs besides its characters and ids.
+    ENTRY = 150
+
+    def __init__(self):
+        self.long: dict[str, bytes] = {}
+        self.size = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.long[piece]
+
+    def add(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.update(zip(pieces, ids, strict=True))
+        self.size += sum(map(len, pieces)) + sum(map(len, ids)) + self.ENTRY * len(ids)
+
+
 def stretches(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
     """The texts in order, in lists of about so many characters."""
     held, size = [], 0

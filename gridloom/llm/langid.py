@@ -22,8 +22,8 @@ from gridloom.llm.common import small_batches
 
 NGRAM = 3
 BUCKETS = 1 << 15
-#: Training texts for each language, and in all; languages with most labelled rows come first.
-SAMPLE, SAMPLE_ALL, LANGUAGES = 500, 20_000, 256
+#: Training texts for each language, and in all; with more languages than SAMPLE_ALL each has one.
+SAMPLE, SAMPLE_ALL = 500, 20_000
 LANDMARKS = 400
 RIDGE = 1e-3
 #: Code points hashed at once, and texts in one matrix product.
@@ -82,17 +82,25 @@ class Model:
 
 
 def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """x: presence (texts x BUCKETS, bool) in random order; landmarks are dealt evenly to the languages."""
+    """x: presence (texts x BUCKETS, bool, or BUCKETS / 8, packed bits) in random order; landmarks are dealt evenly to the languages.
+
+    Texts become floating vectors a few at a time, besides those of the landmarks.
+    """
+    x = np.packbits(x, axis=1) if x.dtype == bool else x
+
+    def dense(rows) -> np.ndarray:
+        return np.unpackbits(x[rows], axis=1).astype(np.float32)
+
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), dtype=np.float32))
     own = {lang: [i for i, y in enumerate(labels) if y == lang] for lang in languages}
     chosen = sorted(i for rows in own.values() for i in rows[: max(1, landmarks // len(languages))])
-    size = np.sqrt(np.maximum(1, x.sum(axis=1))).astype(np.float32)[:, None]
-    z = x[chosen].astype(np.float32) / size[chosen]
+    size = np.sqrt(np.maximum(1, np.bitwise_count(x).sum(axis=1, dtype=np.int64))).astype(np.float32)[:, None]
+    z = dense(chosen) / size[chosen]
     knm = np.empty((len(x), len(chosen)))
-    for at in range(0, len(x), STEP):  # a few texts in floating numbers at a time
-        knm[at : at + STEP] = (x[at : at + STEP].astype(np.float32) @ z.T) / size[at : at + STEP]
+    for at in range(0, len(x), STEP):
+        knm[at : at + STEP] = (dense(slice(at, at + STEP)) @ z.T) / size[at : at + STEP]
     kmm = knm[chosen]
     # Each language weighs as much as the rest against which it is set, however rare.
     share = np.array([1 / len(own[y]) for y in labels])[:, None]
@@ -107,14 +115,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Rows are drawn by a hash of id and text, so that reruns agree, with a rate for each language that keeps about twice
     SAMPLE of them; texts become presence vectors on the executors. Of each language those with the least draws are
-    taken, SAMPLE or an equal share of SAMPLE_ALL at most, so at most SAMPLE_ALL such vectors (4 KB each) come to the driver.
+    taken, SAMPLE or an equal share of SAMPLE_ALL at most, so at most SAMPLE_ALL such vectors (4 KB each) come to the driver,
+    where they stay packed. Every language with a labelled text can be predicted.
     """
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").collect()  # one row for each language
     if not counts:
-        return fit(np.zeros((0, BUCKETS), dtype=bool), [])
-    each = min(SAMPLE, SAMPLE_ALL // len(counts))
+        return fit(np.zeros((0, BUCKETS // 8), dtype=np.uint8), [])
+    each = max(1, min(SAMPLE, SAMPLE_ALL // len(counts)))
     rates = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 2 * each / r.n)) for r in counts], "lang string, rate double")
     draw = (F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("draw")
     drawn = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw).join(F.broadcast(rates), "lang").filter("draw < rate")
@@ -133,14 +142,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = drawn.select("lang", "draw", "text").mapInArrow(vectors, "lang string, draw double, bits binary")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "bits"))
     kept = sample.withColumn("place", place).filter(F.col("place") <= each).orderBy("draw", "lang", "bits").collect()
-    x = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in kept], dtype=bool).reshape(-1, BUCKETS)
+    x = np.frombuffer(b"".join(r.bits for r in kept), np.uint8).reshape(-1, BUCKETS // 8)
     return fit(x, [r.lang for r in kept])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs.
 
-    A text that is null or has no letter gets `und` and score 0, as does every text of a model without languages. A null
+    Whole texts are read, however long. A text that is null or has no letter gets `und` and score 0, as does every text of a model without languages. A null
     id counts as the empty string in held_out. Repeated rows give repeated results, an empty table an empty one; other
     columns are left out, so their names can't clash.
     """

@@ -109,7 +109,7 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
 
     known: license, text. license: the known license that the whole text is, else null. notices: the licenses whose
     known text is a whole line of the text, distinct and sorted, joined by commas; empty if there are none. A known text
-    that stands for two licenses gives the first. Null texts, and texts whose canonical form is empty, match nothing.
+    that stands for two licenses gives the first. Whole texts are read, however long. Null texts, and texts whose canonical form is empty, match nothing.
     Repeated rows give repeated results, empty tables empty ones. Other columns are left out, so their names can't clash.
     """
     listed = known.select("license", whole(canonical(F.col("text"))).alias("canon")).filter("canon <> ''")

@@ -36,8 +36,10 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.findings(read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
-    return found.select("doc_id", "n_candidates", "n_secrets", "secrets", F.md5(F.col("cleaned").cast("binary")).alias("cleaned_md5"))
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.findings(docs, secrets.trained(docs))
+    digests = F.transform("secrets", lambda x: F.sha2(x.cast("binary"), 256))
+    return found.select("doc_id", "n_candidates", "n_secrets", digests.alias("secret_digests"), F.md5(F.col("cleaned").cast("binary")).alias("cleaned_md5"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

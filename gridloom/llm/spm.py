@@ -4,9 +4,11 @@ The model file (a protobuf) is read by hand: pieces with scores and kinds, the t
 fallback, the normaliser's settings. From these a tokenizers pipeline is rebuilt: normaliser, metaspace marker, unigram
 scores or BPE merges (in the order of the merged pieces' scores), byte fallback, decoder.
 
-Where no piece holds a marker behind another character, no merge crosses from a character to a marker after it, so a
-text can be cut there and each distinct part encoded once by the library. Every part's ids are held against the
-sentencepiece library when it is first seen (`verify`); if they differ, the latter's ids are taken and counted.
+Texts are encoded in batches, multithreaded, by that pipeline, and every result is held against the sentencepiece library
+(`verify`). Where they differ the latter's ids are taken, and the text is reported: parity is a column of the results.
+Where no piece of a BPE model holds a marker behind another character, no merge crosses from a character to a marker after
+it, so a text can be cut there; each distinct part is then encoded, and verified, once. All other models, and texts that
+hold NUL, go through the pipeline whole. Decoding is the pipeline's, too.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import THREADS, small_batches, stretches
+from gridloom.llm.common import THREADS, Memory, small_batches, stretches
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
-#: Parts of texts whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of parts of texts and their ids that a worker remembers before a turnover; longer parts aren't remembered.
+REMEMBERED, LONG = 96 << 20, 200
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -130,17 +132,19 @@ class Codec:
         # A newline that no piece holds stands alone, too.
         self.lines = not any("\n" in text for text, _, kind in spec.pieces if kind in (NORMAL, USER)) and spec.byte_fallback
         self.newline = np.array([i for i, p in enumerate(spec.pieces) if p[0] == "<0x0A>" and p[2] == BYTE], dtype="<u4").tobytes()
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # those before the last turnover
-        self.differ = 0
+        self.words, self.older = Memory(), Memory()  # older: those before the last turnover
+        self.odd: set[str] = set()  # parts whose ids differ
+        self.plain = {i for i, (_, _, k) in enumerate(spec.pieces) if k not in (UNKNOWN, CONTROL, UNUSED)}
         self.bytes = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else t.replace(MARK, " ").encode() for t, _, k in spec.pieces]
 
     def _learn(self, parts: set[str]) -> None:
         """Afterwards self.words holds all of parts."""
+        if self.words.size > REMEMBERED:
+            self.words, self.older = Memory(), self.words
+        self.words.long = {}
         new = parts.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words, self.older, new = {}, self.words, parts
-        self.words.update((p, self.older[p]) for p in new if p in self.older)
+        known = [p for p in new if p in self.older]
+        self.words.add(known, [self.older[p] for p in known])
         if not (asked := sorted(p for p in new if p not in self.words)):
             return
         found = [x.ids for x in self.bare.encode_batch(asked, add_special_tokens=False)]
@@ -150,9 +154,11 @@ class Codec:
             for i, (p, ids) in enumerate(zip(asked, self.reference.encode(texts, num_threads=THREADS), strict=True)):
                 own = ids[:1] if p == MARK else ids if p[0] == MARK else ids[2:]
                 if own != found[i]:
-                    self.differ += 1
+                    self.odd.add(p)
                     found[i] = own
-        self.words.update(zip(asked, (np.array(x, dtype="<u4").tobytes() for x in found), strict=True))
+        held = [np.array(x, dtype="<u4").tobytes() for x in found]
+        self.words.add([p for p in asked if len(p) <= LONG], [x for p, x in zip(asked, held, strict=True) if len(p) <= LONG])
+        self.words.long = {p: x for p, x in zip(asked, held, strict=True) if len(p) > LONG}
 
     @staticmethod
     def _parts(text: str) -> list[list[str]]:
@@ -166,33 +172,51 @@ class Codec:
                 out.append([*([head] if head else []), *[MARK + p for p in rest]])
         return out
 
-    def _whole(self, text: str) -> bytes:
-        ids = self.reference.encode(text) if self.reference else self.full.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+    def _whole(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids and parity of texts that go through the pipeline whole."""
+        found = [x.ids for x in self.full.encode_batch(texts, add_special_tokens=False)] if texts else []
+        wanted = self.reference.encode(texts, num_threads=THREADS) if self.reference and texts else found
+        return [(np.array(w, dtype="<u4").tobytes(), f == w) for f, w in zip(found, wanted, strict=True)]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian 32-bit integers, without special tokens."""
-        if not self.apart or not self.lines:
-            return [self._whole(t) if t else b"" for t in texts]
+    def checked_all(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """For each text its ids as little-endian 32-bit integers, without special tokens, and whether both libraries agree."""
         out: list[bytes] = []
+        parity: list[bool] = []
         for some in stretches(texts):
-            cut = [self._parts(t) if t and "\0" not in t else None for t in some]
+            cut = [self._parts(t) if t and self.apart and self.lines and "\0" not in t else None for t in some]
+            whole = iter(self._whole([t for t, lines in zip(some, cut, strict=True) if t and lines is None]))
             parts: set[str] = set()
             for lines in cut:
                 for line in lines or ():
                     parts.update(line)
             self._learn(parts)
             held = self.words.__getitem__
-            out += [self.newline.join([b"".join(map(held, line)) for line in lines]) if lines else self._whole(t) if t else b"" for t, lines in zip(some, cut, strict=True)]
-        return out
+            for t, lines in zip(some, cut, strict=True):
+                ids, same = (self.newline.join([b"".join(map(held, line)) for line in lines]), not self.odd or all(self.odd.isdisjoint(line) for line in lines)) if lines else next(whole) if t else (b"", True)
+                out.append(ids)
+                parity.append(same)
+        return out, parity
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return self.checked_all(texts)[0]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
-    def decode(self, ids: bytes) -> str:
-        data = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode_all(self, texts: list[bytes]) -> list[str]:
+        """Texts of ids by the pipeline's decoder; those with unknown or control pieces by the pieces' own texts, as sentencepiece has it."""
+        lists = [np.frombuffer(x, "<u4").tolist() for x in texts]
+        plain = [self.plain.issuperset(x) for x in lists]
+        found = iter(self.full.decode_batch([x for x, p in zip(lists, plain, strict=True) if p], skip_special_tokens=False))
+        return [next(found) if p else self._spelled(x) for x, p in zip(lists, plain, strict=True)]
+
+    def _spelled(self, ids: list[int]) -> str:
+        data = b"".join(map(self.bytes.__getitem__, ids))
         return (data[1:] if self.spec.prefix and data[:1] == b" " else data).decode("utf-8", "replace")
 
+    def decode(self, ids: bytes) -> str:
+        return self.decode_all([ids])[0]
+
 
 @functools.lru_cache(2)
 def codec(path: str) -> Codec:
@@ -200,33 +224,36 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, ids, n_tokens, round_trip) for every row of docs.
+    """(doc_id, *keep, ids, n_tokens, round_trip, parity) for every row of docs.
 
-    round_trip: decoding the ids gives the text again (for models that change nothing but spaces). Null and empty texts
-    have no ids and round trips true. Repeated rows give repeated results, an empty table an empty one; columns that
-    aren't listed in keep are left out, so their names can't clash.
+    round_trip: decoding the ids gives the text again (for models that change nothing but spaces). parity: the rebuilt
+    pipeline gives the sentencepiece library's ids. Null and empty texts have no ids, and both are true; texts are read
+    whole, however long. Repeated rows give repeated results, an empty table an empty one; columns that aren't listed in
+    keep are left out, so their names can't clash. A column of keep named like one of the results is left out.
     """
     small_batches(docs.sparkSession)
-    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]) + ", ids array<int>, n_tokens long, round_trip boolean"
+    made = ("doc_id", "ids", "n_tokens", "round_trip", "parity")
+    names = [k for k in keep if k not in made]
+    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(f"`{k}`") for k in names), F.col(text_col).alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]) + ", ids array<int>, n_tokens long, round_trip boolean, parity boolean"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                texts = [t or "" for t in part.column("__text").to_pylist()]
-                ids = own.encode_all(texts)
-                same = [own.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+                texts = [t or "" for t in part.columns[-1].to_pylist()]
+                ids, parity = own.checked_all(texts)
+                same = [x == t for x, t in zip(own.decode_all(ids), texts, strict=True)]
                 sizes = [len(x) // 4 for x in ids]
                 held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], held, pa.array(sizes, pa.int64()), pa.array(same)], names=[*part.schema.names[:-1], "ids", "n_tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], held, pa.array(sizes, pa.int64()), pa.array(same), pa.array(parity)], names=[*part.schema.names[:-1], *made[1:]])
 
     return frame.mapInArrow(rows, schema)
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, round_trip): as encode, with the CRC-32 of the ids as little-endian integers."""
+    """(doc_id, n_tokens, ids_crc32, round_trip, parity): as encode, with the CRC-32 of the ids as little-endian integers."""
     small_batches(docs.sparkSession)
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -234,9 +261,9 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         own = codec(model)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = own.encode_all(texts)
+            ids, parity = own.checked_all(texts)
             n, crc = [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids]
-            same = [own.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+            same = [x == t for x, t in zip(own.decode_all(ids), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "round_trip", "parity"])
 
-    return frame.mapInArrow(rows, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return frame.mapInArrow(rows, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean")

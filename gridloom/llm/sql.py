@@ -107,7 +107,7 @@ def _whole(canonical: str) -> str:
     return f"trim(regexp_replace(replace({canonical}, chr(10), ' '), ' +', ' ', 'g'))"
 
 
-_KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN)
+_KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in [*licenses.KNOWN, *licenses.whole_texts()])
 
 LICENSES = f"""
 with known as (

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, folder, small_batches, stretches
+from gridloom.llm.common import Memory, cut, folder, small_batches, stretches
 
 SEEK_MAGIC = b"\xb1\xea\x92\x8f"  # 0x8F92EAB1
 SEEK_FRAME, DIRECTORY_FRAME = 0x184D2A5E, 0x184D2A50
@@ -37,27 +37,12 @@ ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 #: Compressed bytes of a shard, about; a longer document makes a longer shard.
 SHARD = 16 << 20
 LEVEL = 3
-#: Bytes of pieces and their ids that a worker remembers before a turnover, for each of two kinds; what an entry costs besides.
-REMEMBERED, ENTRY_BYTES = 96 << 20, 150
+#: Bytes of pieces and their ids that a worker remembers before a turnover, for each of two kinds.
+REMEMBERED = 96 << 20
 #: Pieces of more characters aren't remembered; pieces encoded as one text.
 LONG, TOGETHER = 200, 500
 
 
-class Memory(dict):
-    """Ids of pieces of text: what is remembered, and besides it the long pieces of the texts at hand."""
-
-    def __init__(self):
-        self.long: dict[str, bytes] = {}
-        self.size = 0
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.long[piece]
-
-    def add(self, pieces: list[str], ids: list[bytes]) -> None:
-        self.update(zip(pieces, ids, strict=True))
-        self.size += sum(map(len, pieces)) + sum(map(len, ids)) + ENTRY_BYTES * len(ids)
-
-
 class Encoder:
     """Ids of texts by a byte-level BPE of the tokenizers library, as its own encode gives them for whole texts.
 

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -72,5 +74,50 @@ def test_repeated_rows_and_extra_columns(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, now, "").filter(~F.col("round_trip")).count() == 0
 
 
+def internal_names():
+    """Every name that operators give to columns of their own."""
+    folder = os.path.dirname(mixing.__file__)
+    names = set()
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".py"):
+            with open(os.path.join(folder, name)) as f:
+                text = f.read()
+            names |= set(re.findall(r'(?:alias|withColumn|withColumnRenamed)\(\s*"(\w+)"', text))
+            names |= set(re.findall(r'\("(\w+)", F\.', text))
+            names |= set(re.findall(r'"(\w+)"', text)) & set(re.findall(r"\b(\w+)=F\.", text))
+            names |= set(re.findall(r"packed\(docs, (.*)\)", text) and re.findall(r"\b(\w+)=", " ".join(re.findall(r"packed\(docs, (.*)\)", text))))
+    return sorted({n.lower() for n in names} - {"doc_id", "text", "lang", "source", "n_chars"})
+
+
+def test_clashing_names(spark):
+    names = internal_names()
+    assert len(names) > 60 and {"row", "ident", "host", "text_key", "gaps", "found", "slot", "n"} <= set(names)
+    rows = [r for r in corpus() if r[0] < 20 or r[0] >= 100]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = spark.createDataFrame(rows, schema)
+    wide = spark.createDataFrame([(*r, *([f"{r[0]}"] * len(names))) for r in rows], schema + ", " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        a, b = stage(spark, plain, ""), stage(spark, wide, "")
+        assert b.columns == wide.columns
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(plain.columns).collect())), name
+        assert all(all(v == (None if r.doc_id is None else str(r.doc_id)) for v in r[5:]) for r in b.collect()), name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(map(str, last(spark, plain, "").collect())) == sorted(map(str, last(spark, wide, "").collect()))
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(9)
+    long = words(rnd, 60_000)
+    rows = [(1, long, "a"), (2, long + " more", "b"), (3, words(rnd, 90), "a"), (4, "x" * 400_000 + " " + words(rnd, 80), "b"), (5, "\n".join(words(rnd, 3) for _ in range(20_000)), "c")]
+    now = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for _, stage in corpus_pipeline.STAGES[:-2]:
+        now = stage(spark, now, "").cache()
+    texts = {r.doc_id: r.text for r in now.collect()}
+    assert set(texts) == {1, 3, 4, 5} and all(texts[d] == t for d, t, _ in rows if d in texts)
+    now = corpus_pipeline.STAGES[-2][1](spark, now, "").cache()
+    assert {r.doc_id for r in now.collect()} and all(texts[r.doc_id] == r.text for r in now.collect())
+    assert all(r.round_trip for r in corpus_pipeline.STAGES[-1][1](spark, now, "").collect())
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))

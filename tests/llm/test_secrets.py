@@ -4,7 +4,9 @@ import hashlib
 import re
 
 import pytest
+import regex
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from gridloom.llm import secrets
@@ -18,12 +20,86 @@ def model(spark):
 
 
 def test_expression_is_the_forest(spark, model):
-    rows = secrets.labelled_findings(spark).withColumn("f", secrets.features(F.col("before"), F.col("candidate"), F.col("behind")))
+    rows = secrets.labelled_findings(spark, 1000, first=secrets.FINDINGS).withColumn("f", secrets.features(F.col("before"), F.col("candidate"), F.col("behind")))
     rows = rows.select("label", "f.*", secrets.votes(model, F.col("f")).alias("mine"))
-    got = model.transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(rows)).select("label", "mine", "prediction", "features").collect()
+    got = model.forest.transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(rows)).select("label", "mine", "prediction", "features").collect()
     for r in got[::40]:
-        assert r.mine == pytest.approx(sum(t.predict(r.features) for t in model.trees) / len(model.trees))
-    assert sum((r.mine > 0.5) == r.label for r in got) > 0.98 * len(got)
+        assert r.mine == pytest.approx(sum(t.predict(r.features) for t in model.forest.trees) / len(model.forest.trees))
+
+
+def test_held_out_findings(spark, model):
+    precision, recall = secrets.evaluate(model, secrets.labelled_findings(spark, 4000, first=secrets.FINDINGS))
+    assert precision > 0.97 and recall > 0.95
+    row = secrets.labelled_findings(spark, 4000).filter("label = 0")
+    # No two draws move together: digests stand behind many kinds of words.
+    assert row.filter("candidate rlike '^[0-9a-f]{40}$'").select("before").distinct().count() > 20
+
+
+def test_trie():
+    words = ["in", "int", "integer", "index", "on", "one", "zone", "äpfel"]
+    pattern = re.compile(secrets._trie(words))
+    plain = re.compile("|".join(sorted(words, key=len, reverse=True)))
+    for text in ("integerindex", "zonein", "oneint", "interest on the zone äpfel", "xyz", ""):
+        assert pattern.findall(text) == plain.findall(text)
+
+
+def brute(model, text):
+    """(candidates, secrets) of a text in plain Python."""
+    found = list(regex.finditer(secrets.CANDIDATE, text or ""))
+    pattern = re.compile("|".join(sorted(model.words, key=len, reverse=True)))
+    out = []
+    for i, m in enumerate(found):
+        candidate, n = m[0], len(m[0])
+        start = found[i - 1].end() if i else 0
+        before = text[start : m.start()]
+        if i and len(before) < secrets.BEFORE:
+            early = text[found[i - 2].end() if i > 1 else 0 : found[i - 1].start()]
+            before = early[-secrets.BEFORE :] + found[i - 1][0][-secrets.BEFORE :] + before
+        before = before[-secrets.BEFORE :]
+        end = found[i + 1].start() if i + 1 < len(found) else len(text)
+        behind = text[m.end() : end][: secrets.BEHIND]
+        kinds = re.sub("[0-9]", "0", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", candidate)))
+        runs = sum(1 for j in range(n) if not j or kinds[j] != kinds[j - 1])
+
+        def has(pattern, where):
+            return float(regex.search(pattern, where, regex.A) is not None)
+
+        values = [
+            min(n, 256), len(re.findall("[0-9]", candidate)) / n, len(re.findall("[A-Z]", candidate)) / n, len(re.findall("[a-z]", candidate)) / n, len(re.findall("[^A-Za-z0-9]", candidate)) / n,
+            has("^([0-9a-f]+|[0-9A-F]+)$", candidate), (runs - 1) / n, len(set(candidate)) / min(n, 256), sum(map(len, pattern.findall(candidate.lower()))) / n, candidate.count("/") / n, candidate.count(".") / n,
+            has(r"^[./]|^[\w.\-]+(/[\w.\-]+)+/?$|\.[a-z]{2,4}$", candidate), has(secrets.KEY_WORDS, before), has(secrets.PLAIN_WORDS, before), has(r"[:=]\s*[\"'`]?$", before), has(r"[\"'`]$", before) * has(r"^[\"'`]", behind), has(secrets.KNOWN_KEYS, candidate),
+        ]
+        votes = sum(t.predict(Vectors.dense(values)) for t in model.forest.trees) / len(model.forest.trees)
+        if votes > 0.5:
+            out.append(candidate)
+    return len(found), out
+
+
+def test_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = ['a token = "' + HEX + '" b', f"x {HEX} y", "/usr/share/name/of/a/file.html and api_key=" + HEX[:20], None, "", f"password: {HEX[:10]} BUILD_ID={HEX} see {HEX[::-1]}"]
+    docs = docs.unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    docs = docs.unionByName(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").filter("text like '%oken = \"%'"))
+    own = secrets.trained(docs)
+    got = sorted((r.doc_id, r.n_candidates, list(r.secrets)) for r in secrets.findings(docs, own).collect())
+    assert got == sorted((d, *brute(own, t)) for d, t in docs.collect())
+
+
+def test_planted_secrets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    planted = F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})"'), F.lit(1))
+    found = secrets.findings(docs, secrets.trained(docs)).join(docs.select("doc_id", planted.alias("planted")), "doc_id").filter("n_secrets > 0 or size(planted) > 0").collect()
+    there = sum(len(r.planted) for r in found)
+    caught = sum(sum(p in r.secrets for p in r.planted) for r in found)
+    assert there > 100 and caught >= 0.99 * there and sum(r.n_secrets for r in found) <= 1.1 * there
+
+
+def test_vocabulary(spark):
+    texts = ["zwischen den Häusern", "Zwischen zwischen allem", "und ZWISCHEN drin", "Häusern und", "häusern", None, "", "häu"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = secrets.vocabulary(docs)
+    assert words[: len(secrets.DICTIONARY)] == list(secrets.DICTIONARY) and sorted(words[len(secrets.DICTIONARY) :]) == ["häusern", "zwischen"]
+    assert secrets.vocabulary(docs, size=1)[len(secrets.DICTIONARY) :] == ["häusern"] and secrets.vocabulary(docs.limit(0)) == list(secrets.DICTIONARY)
 
 
 def test_findings(spark, model):

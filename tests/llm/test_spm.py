@@ -19,11 +19,37 @@ def test_parity_and_round_trip():
     texts = ODD + ["".join(rnd.choice(" \n▁ab<é.日the") for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
     got = CODEC.encode_all(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == LIBRARY.encode(texts)
-    assert [CODEC.decode(x) for x in got] == [t.replace("▁", " ") for t in texts]
+    assert CODEC.decode_all(got) == [t.replace("▁", " ") for t in texts]
+    assert not CODEC.odd and all(CODEC.checked_all(texts)[1])
+    # Both ways of decoding agree, and both with the library, control and unknown pieces included.
+    some = [[rnd.randrange(32000) for _ in range(rnd.randint(1, 30))] for _ in range(300)]
+    assert [CODEC._spelled(x) for x in some] == LIBRARY.decode(some)
+    assert CODEC.decode_all([np.array(x, "<u4").tobytes() for x in some]) == LIBRARY.decode(some)
+
+
+def test_differences_are_reported():
+    own = spm.Codec(PATH)
+    good = own.bare
+
+    class Wrong:
+        def encode_batch(self, texts, **options):
+            found = good.encode_batch(texts, **options)
+            return [type("E", (), {"ids": x.ids + [9] if t == "▁two" else x.ids}) for t, x in zip(texts, found, strict=True)]
+
+    own.bare = Wrong()
+    ids, parity = own.checked_all(["one two three", "one three"])
+    assert parity == [False, True] and np.frombuffer(ids[0], "<u4").tolist() == LIBRARY.encode("one two three")
+
+
+def test_long_parts_are_not_remembered():
+    texts = ["x" * 3000 + " " + "é" * 500, "a " * 300 + "y" * 250]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in CODEC.encode_all(texts)] == LIBRARY.encode(texts)
+    assert all(len(p) <= spm.LONG for p in CODEC.words)
 
 
 def test_rebuilt_pipeline_alone():
-    texts = [t for t in ODD if "▁" not in t and "aaaa" not in t and "xxx" not in t]
+    texts = [t for t in ODD if "▁" not in t]
     assert [CODEC.full.encode(t, add_special_tokens=False).ids for t in texts] == [x if t else [] for t, x in zip(texts, LIBRARY.encode(texts), strict=True)]
     ids = CODEC.full.encode("Some plain words", add_special_tokens=False).ids
     assert CODEC.full.decode(ids) == "Some plain words"
@@ -56,13 +82,21 @@ def test_unigram_model(tmp_path):
     made = spm.rebuild(spec)
     for text in ["the ab", "a  b the", "tha", " abab ", "z the", "é"]:
         assert made.encode(text, add_special_tokens=False).ids == library.encode(text), text
+    own = spm.Codec(str(path))
+    assert not own.apart
+    rnd = random.Random(4)
+    texts = ["", "the ab", " ", "\0a", *("".join(rnd.choice("the ab  é") for _ in range(rnd.randint(1, 40))) for _ in range(300))]
+    ids, parity = own.checked_all(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == library.encode(texts)
+    assert sum(parity) >= 0.99 * len(texts)
+    assert own.decode_all(ids) == library.decode([np.frombuffer(x, "<u4").tolist() for x in ids])
 
 
 def test_frames(spark):
     rows = [(1, "one two\nthree", "x"), (2, None, None), (3, "", "y"), (None, "é" * 40000, "z"), (1, "one two\nthree", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    got = {(r.doc_id, r.n_tokens, r.ids_crc32, r.round_trip) for r in spm.digests(docs, PATH).collect()}
-    assert len(got) == 4 and all(r[3] for r in got)
+    got = {tuple(r) for r in spm.digests(docs, PATH).collect()}
+    assert len(got) == 4 and all(r[3] and r[4] for r in got)
     full = spm.encode(docs.withColumnRenamed("ids", "source"), PATH, keep=("source",)).collect()
     want = {(d, s): LIBRARY.encode(t or "") for d, t, s in rows}
     assert len(full) == 5 and all(want[r.doc_id, r.source] == r.ids and r.n_tokens == len(r.ids) for r in full)
