@@ -22,27 +22,45 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines above the limits are taken out of the others."""
+    """Rejected documents go; lines above the limits are taken out of the others.
+
+    Null and empty texts, and texts of under 50 words, are rejected. Whole texts are read, however long; repeated rows are
+    judged alike. A null id or source is a value like others. An empty table stays empty.
+    """
     return _recounted(quality.apply_rules(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near-duplicates (5-word shingles, similarity 0.8 or more) stays: the smallest id.
+
+    Null texts and texts without a word are one group; null ids come last; of equal rows one stays. Whole texts are read,
+    however long. An empty table stays empty.
+    """
     return similar.deduplicate(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; no document goes."""
-    return _recounted(secrets.redact(docs, secrets.train(secrets.labelled_findings(spark))))
+    """Secrets are masked in the texts; no document goes, repeated rows stay repeated.
+
+    A null text stays null, an empty one empty; whole texts are read, however long. An empty table stays empty.
+    """
+    return _recounted(secrets.redact(docs, secrets.trained(docs)))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, in the order of its schedule.
+
+    Null and empty texts aren't taken; whole texts count, however long. Repeated rows get the copies of all of them; a
+    null source is a source of its own. An empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, ids, n_tokens, round_trip)."""
+    """(doc_id, lang, source, ids, n_tokens, round_trip, parity), a row for each row; lang and source where docs has them.
+
+    Null and empty texts have no ids; whole texts are encoded, however long. An empty table stays empty.
+    """
     return spm.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=tuple(c for c in ("lang", "source") if c in docs.columns))
 
 
