@@ -23,6 +23,13 @@ def test_stands_without_the_training_data_folders(tmp_path):
     assert int(done.stdout.split()[-1]) > 100
 
 
+def test_stands_without_a_library_of_the_training_data_queries(tmp_path):
+    (tmp_path / "xxhash.py").write_text("raise ImportError('not here')")
+    done = subprocess.run([sys.executable, "-c", CODE], cwd=tmp_path, env=os.environ | {"PYTHONPATH": f"{tmp_path}:{ROOT}"}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[-1]) > 100
+
+
 def test_nothing_else_imports_the_training_data_folder():
     for at, folders, names in os.walk(os.path.join(ROOT, "gridloom")):
         if at == os.path.join(ROOT, "gridloom"):
