@@ -7,8 +7,8 @@ scores or BPE merges (in the order of the merged pieces' scores), byte fallback,
 Texts are encoded in batches, multithreaded, by that pipeline, and every result is held against the sentencepiece library
 (`verify`). Where they differ the latter's ids are taken, and the text is reported: parity is a column of the results.
 Where no piece of a BPE model holds a marker behind another character, no merge crosses from a character to a marker after
-it, so a text can be cut there; each distinct part is then encoded, and verified, once. All other models, and texts that
-hold NUL, go through the pipeline whole. Decoding is the pipeline's, too.
+it, so a text can be cut there; each distinct part is then encoded, verified, and decoded by the pipeline's decoder, once: a
+text whose parts all come back comes back. All other models, and texts that hold NUL, go through the pipeline whole.
 """
 
 from __future__ import annotations
@@ -134,6 +134,7 @@ class Codec:
         self.newline = np.array([i for i, p in enumerate(spec.pieces) if p[0] == "<0x0A>" and p[2] == BYTE], dtype="<u4").tobytes()
         self.words, self.older = Memory(), Memory()  # older: those before the last turnover
         self.odd: set[str] = set()  # parts whose ids differ
+        self.torn: set[str] = set()  # parts that don't come back
         self.plain = {i for i, (_, _, k) in enumerate(spec.pieces) if k not in (UNKNOWN, CONTROL, UNUSED)}
         self.bytes = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else t.replace(MARK, " ").encode() for t, _, k in spec.pieces]
 
@@ -156,9 +157,14 @@ class Codec:
                 if own != found[i]:
                     self.odd.add(p)
                     found[i] = own
+        back = self.full.decode_batch(found, skip_special_tokens=False)
+        # The decoder takes one blank, the first marker's, from the front.
+        self.torn.update(p for p, b in zip(asked, back, strict=True) if b != (p[1:] if p[0] == MARK else p).replace(MARK, " "))
         held = [np.array(x, dtype="<u4").tobytes() for x in found]
-        self.words.add([p for p in asked if len(p) <= LONG], [x for p, x in zip(asked, held, strict=True) if len(p) <= LONG])
         self.words.long = {p: x for p, x in zip(asked, held, strict=True) if len(p) > LONG}
+        if self.words.long:
+            asked, held = [p for p in asked if len(p) <= LONG], [x for p, x in zip(asked, held, strict=True) if len(p) <= LONG]
+        self.words.add(asked, held)
 
     @staticmethod
     def _parts(text: str) -> list[list[str]]:
@@ -172,16 +178,17 @@ class Codec:
                 out.append([*([head] if head else []), *[MARK + p for p in rest]])
         return out
 
-    def _whole(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Ids and parity of texts that go through the pipeline whole."""
+    def _whole(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """Ids, parity and round trip of texts that go through the pipeline whole."""
         found = [x.ids for x in self.full.encode_batch(texts, add_special_tokens=False)] if texts else []
         wanted = self.reference.encode(texts, num_threads=THREADS) if self.reference and texts else found
-        return [(np.array(w, dtype="<u4").tobytes(), f == w) for f, w in zip(found, wanted, strict=True)]
+        held = [np.array(w, dtype="<u4").tobytes() for w in wanted]
+        return [(h, f == w, d == t) for h, f, w, d, t in zip(held, found, wanted, self.decode_all(held), texts, strict=True)]
 
-    def checked_all(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """For each text its ids as little-endian 32-bit integers, without special tokens, and whether both libraries agree."""
-        out: list[bytes] = []
-        parity: list[bool] = []
+    def checked_all(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """For each text its ids as little-endian 32-bit integers, without special tokens, whether both libraries agree, and
+        whether decoding gives the text again."""
+        out: list[tuple[bytes, bool, bool]] = []
         for some in stretches(texts):
             cut = [self._parts(t) if t and self.apart and self.lines and "\0" not in t else None for t in some]
             whole = iter(self._whole([t for t, lines in zip(some, cut, strict=True) if t and lines is None]))
@@ -192,10 +199,13 @@ class Codec:
             self._learn(parts)
             held = self.words.__getitem__
             for t, lines in zip(some, cut, strict=True):
-                ids, same = (self.newline.join([b"".join(map(held, line)) for line in lines]), not self.odd or all(self.odd.isdisjoint(line) for line in lines)) if lines else next(whole) if t else (b"", True)
-                out.append(ids)
-                parity.append(same)
-        return out, parity
+                if lines:
+                    ids = self.newline.join([b"".join(map(held, line)) for line in lines])
+                    parity, back = (not bad or all(bad.isdisjoint(line) for line in lines) for bad in (self.odd, self.torn))
+                    out.append((ids, parity, back and MARK not in t))  # a marker in the text comes back as a blank
+                else:
+                    out.append(next(whole) if t else (b"", True, True))
+        return [x[0] for x in out], [x[1] for x in out], [x[2] for x in out]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         return self.checked_all(texts)[0]
@@ -243,8 +253,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 texts = [t or "" for t in part.columns[-1].to_pylist()]
-                ids, parity = own.checked_all(texts)
-                same = [x == t for x, t in zip(own.decode_all(ids), texts, strict=True)]
+                ids, parity, same = own.checked_all(texts)
                 sizes = [len(x) // 4 for x in ids]
                 held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], held, pa.array(sizes, pa.int64()), pa.array(same), pa.array(parity)], names=[*part.schema.names[:-1], *made[1:]])
@@ -261,9 +270,8 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         own = codec(model)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids, parity = own.checked_all(texts)
+            ids, parity, same = own.checked_all(texts)
             n, crc = [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids]
-            same = [x == t for x, t in zip(own.decode_all(ids), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "round_trip", "parity"])
 
     return frame.mapInArrow(rows, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean")

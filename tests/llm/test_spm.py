@@ -20,7 +20,8 @@ def test_parity_and_round_trip():
     got = CODEC.encode_all(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == LIBRARY.encode(texts)
     assert CODEC.decode_all(got) == [t.replace("▁", " ") for t in texts]
-    assert not CODEC.odd and all(CODEC.checked_all(texts)[1])
+    _, parity, back = CODEC.checked_all(texts)
+    assert not CODEC.odd and all(parity) and back == [x == t for x, t in zip(CODEC.decode_all(got), texts, strict=True)]
     # Both ways of decoding agree, and both with the library, control and unknown pieces included.
     some = [[rnd.randrange(32000) for _ in range(rnd.randint(1, 30))] for _ in range(300)]
     assert [CODEC._spelled(x) for x in some] == LIBRARY.decode(some)
@@ -37,7 +38,7 @@ def test_differences_are_reported():
             return [type("E", (), {"ids": x.ids + [9] if t == "▁two" else x.ids}) for t, x in zip(texts, found, strict=True)]
 
     own.bare = Wrong()
-    ids, parity = own.checked_all(["one two three", "one three"])
+    ids, parity, _ = own.checked_all(["one two three", "one three"])
     assert parity == [False, True] and np.frombuffer(ids[0], "<u4").tolist() == LIBRARY.encode("one two three")
 
 
@@ -86,7 +87,8 @@ def test_unigram_model(tmp_path):
     assert not own.apart
     rnd = random.Random(4)
     texts = ["", "the ab", " ", "\0a", *("".join(rnd.choice("the ab  é") for _ in range(rnd.randint(1, 40))) for _ in range(300))]
-    ids, parity = own.checked_all(texts)
+    ids, parity, back = own.checked_all(texts)
+    assert back == [x == t for x, t in zip(own.decode_all(ids), texts, strict=True)]
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == library.encode(texts)
     assert sum(parity) >= 0.99 * len(texts)
     assert own.decode_all(ids) == library.decode([np.frombuffer(x, "<u4").tolist() for x in ids])
