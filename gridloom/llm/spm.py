@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -138,15 +139,11 @@ class Codec:
         self.plain = {i for i, (_, _, k) in enumerate(spec.pieces) if k not in (UNKNOWN, CONTROL, UNUSED)}
         self.bytes = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else " ⁇ ".encode() if k == UNKNOWN else t.replace(MARK, " ").encode() for t, _, k in spec.pieces]
 
-    def _learn(self, parts: set[str]) -> None:
-        """Afterwards self.words holds all of parts."""
-        if self.words.size > REMEMBERED:
-            self.words, self.older = Memory(), self.words
-        self.words.long = {}
-        new = parts.difference(self.words)
+    def _learn(self, new: set[str]) -> None:
+        """Afterwards self.words holds all of new, parts that it didn't hold."""
         known = [p for p in new if p in self.older]
         self.words.add(known, [self.older[p] for p in known])
-        if not (asked := sorted(p for p in new if p not in self.words)):
+        if not (asked := list(new.difference(known) if known else new)):
             return
         found = [x.ids for x in self.bare.encode_batch(asked, add_special_tokens=False)]
         if self.reference:
@@ -192,10 +189,14 @@ class Codec:
         for some in stretches(texts):
             cut = [self._parts(t) if t and self.apart and self.lines and "\0" not in t else None for t in some]
             whole = iter(self._whole([t for t, lines in zip(some, cut, strict=True) if t and lines is None]))
+            self.words.long = {}
+            if self.words.size > REMEMBERED:
+                self.words, self.older = Memory(), self.words
             parts: set[str] = set()
+            unknown = self.words.__contains__
             for lines in cut:
                 for line in lines or ():
-                    parts.update(line)
+                    parts.update(filterfalse(unknown, line))
             self._learn(parts)
             held = self.words.__getitem__
             for t, lines in zip(some, cut, strict=True):

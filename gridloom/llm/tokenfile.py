@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -99,34 +100,41 @@ class Encoder:
             out += [data[4 * a : 4 * b + 4] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
         return out
 
-    def _learn(self, kind: int, parts: set[str]) -> None:
-        """Afterwards seen[kind] holds all of parts; kind 0 at a line's start, 1 behind a space."""
+    def _turn(self) -> None:
+        """A memory that is full becomes the older one."""
+        for kind in (0, 1):
+            self.seen[kind].long = {}
+            if self.seen[kind].size > REMEMBERED:
+                self.seen[kind], self.older[kind] = Memory(), self.seen[kind]
+
+    def _learn(self, kind: int, new: set[str]) -> None:
+        """Afterwards seen[kind] holds all of new, pieces that it didn't hold; kind 0 at a line's start, 1 behind a space."""
         seen, older = self.seen[kind], self.older[kind]
-        if seen.size > REMEMBERED:
-            seen, older = Memory(), seen
-            self.seen[kind], self.older[kind] = seen, older
-        seen.long = {}
-        new = parts.difference(seen)
         known = [p for p in new if p in older]
         seen.add(known, [older[p] for p in known])
-        if not (asked := [p for p in new if p not in seen]):
-            return
+        asked = new.difference(known) if known else new
         # A full stop or comma behind a letter is a token of its own: the word is asked for without it.
-        ends = {p: p[-1] for p in asked if 1 < len(p) <= LONG and p[-1] in self.marks and p[-2] < "\u0250" and p[-2].isalpha()}
-        words, odd = [], []
-        for p in sorted({p[:-1] if p in ends else p for p in asked}.difference(seen)):
-            (words if p.split() == [p] and len(p) <= LONG else odd).append(p)
+        ends = [p for p in asked if p[-1:] in self.marks and 1 < len(p) <= LONG and p[-2] < "\u0250" and p[-2].isalpha()]
+        asked = asked.difference(ends)
+        asked.update(filterfalse(seen.__contains__, [p[:-1] for p in ends]))
+        odd = [p for p in asked if len(p) > LONG or not p or not p.isprintable()]
+        words = list(asked.difference(odd) if odd else asked)
         seen.add(words, self._words(kind, words))
-        ids = dict(zip(odd, self._encode([" " * kind + p for p in odd]), strict=True))
-        seen.long = {p: x for p, x in ids.items() if len(p) > LONG}
-        short = [p for p in odd if len(p) <= LONG]
-        seen.add(short, [ids[p] for p in short])
-        seen.add(list(ends), [seen[p[:-1]] + self.marks[e] for p, e in ends.items()])
+        if odd:
+            ids = dict(zip(odd, self._encode([" " * kind + p for p in odd]), strict=True))
+            seen.long = {p: x for p, x in ids.items() if len(p) > LONG}
+            short = [p for p in odd if len(p) <= LONG]
+            seen.add(short, [ids[p] for p in short])
+        seen.add(ends, [seen[p[:-1]] + self.marks[p[-1]] for p in ends])
 
     @staticmethod
     def _lines(text: str) -> list[list[str]]:
+        lines = text.split("\n")
+        # Printable texts have no white space but blanks; these, and newlines, have to stand single between words.
+        if "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text[0] not in " \n" and text[-1] not in " \n" and all(map(str.isprintable, lines)):
+            return [line.split(" ") for line in lines]
         if " ".join(text.split()) == text.replace("\n", " "):
-            return [line.split(" ") for line in text.split("\n")]
+            return [line.split(" ") for line in lines]
         return [re.split(r"(?<=\S) ", text)]
 
     def ids_all(self, texts: list[str]) -> list[bytes]:
@@ -137,16 +145,17 @@ class Encoder:
             asked = [t for t, w in zip(some, whole, strict=True) if w]
             plain = iter(self._encode(asked) if asked else ())
             cut = [self._lines(t) if t and not w else [] for t, w in zip(some, whole, strict=True)]
+            self._turn()
             starts, parts = set(), set()
+            unknown = self.seen[1].__contains__
             for lines in cut:
                 for line in lines:
                     starts.add(line[0])
-                    parts.update(line[1:])
-            if starts:
-                self._learn(0, starts)
-                self._learn(1, parts)
+                    parts.update(filterfalse(unknown, islice(line, 1, None)))
+            self._learn(0, starts.difference(self.seen[0]))
+            self._learn(1, parts)
             first, rest = self.seen[0], self.seen[1].__getitem__
-            out += [next(plain) if w else self.newline.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines]) if lines else b"" for lines, w in zip(cut, whole, strict=True)]
+            out += [next(plain) if w else self.newline.join([first[line[0]] + b"".join(map(rest, islice(line, 1, None))) for line in lines]) if lines else b"" for lines, w in zip(cut, whole, strict=True)]
         return out
 
     def ids(self, text: str) -> bytes:
