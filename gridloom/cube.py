@@ -41,6 +41,13 @@ class RasterCube:
             raise IndexError(f"band {which} is out of range for {self.bands}")
         return self.bands[which]
 
+    def persist(self, level=None) -> RasterCube:
+        """The cube, held in memory and on disk once it is computed."""
+        return RasterCube(self.df.persist(level) if level else self.df.persist(), self.meta)
+
+    def unpersist(self) -> RasterCube:
+        return RasterCube(self.df.unpersist(), self.meta)
+
     def rounded(self, digits: int = 6) -> DataFrame:
         """Rows with bands as rounded doubles."""
         return self.df.select(*self.keys, *(F.round(F.col(b).cast("double"), digits).alias(b) for b in self.bands))

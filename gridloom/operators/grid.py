@@ -299,9 +299,9 @@ def z_order(cube: RasterCube, bits: int = 16) -> Column:
 
 
 def partition_by_space(cube: RasterCube, partitions: int | None = None) -> RasterCube:
-    """Neighbouring tiles in one partition, by ranges of the Morton number; dates of a tile stay together."""
+    """Neighbouring tiles in one partition, by ranges of the Morton number; all cells and dates of a tile stay together."""
     df = cube.df.withColumn("__z", z_order(cube))
-    return cube.on(df.repartitionByRange(partitions, "__z", "x", "y") if partitions else df.repartitionByRange("__z", "x", "y"))
+    return cube.on(df.repartitionByRange(partitions, "__z") if partitions else df.repartitionByRange("__z"))
 
 
 #: Fixed values of the military grid: column letters by zone in threes, row letters, latitude bands of 8 degrees from 80 S.

@@ -99,6 +99,15 @@ def union_layers(cubes: list[RasterCube]) -> RasterCube:
     return cubes[0].on(reduce(lambda a, b: a.unionByName(b), (c.df for c in cubes)))
 
 
+def difference(cube: RasterCube, other: RasterCube) -> RasterCube:
+    """Rows of the cube whose cells the other doesn't have."""
+    return cube.on(cube.df.join(other.df.select(*cube.keys), cube.keys, "left_anti"))
+
+
+def absolute(cube: RasterCube) -> RasterCube:
+    return cube.with_bands({b: F.abs(F.col(b)) for b in cube.bands})
+
+
 def combine_bands(cubes: list[RasterCube]) -> RasterCube:
     """Bands of all cubes side by side, in the order of the cubes: one aggregation over their union."""
     names = [f"{b}_{i}" for i, c in enumerate(cubes) for b in c.bands]
@@ -121,6 +130,7 @@ def merge_tiles(cubes: list[RasterCube]) -> RasterCube:
 LOCAL = {
     "add": lambda a, b: a + b, "subtract": lambda a, b: a - b, "multiply": lambda a, b: a * b, "divide": scalar.divide,
     "pow": scalar.power, "max": lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)),
+    "min": lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)),
 }
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.cube import RasterCube
 from gridloom.functions import series
+from gridloom.operators.zonal import small
 from gridloom.plans.graph import compile_series, single
 
 
@@ -67,8 +68,12 @@ def intervals(spark: SparkSession, spans: list[tuple[str, str]], labels: list[st
 
 
 def in_intervals(cube: RasterCube, spans: DataFrame) -> DataFrame:
-    """Rows once for each span that holds them, with its label; spans may overlap."""
-    return cube.df.join(F.broadcast(spans), (F.col("t") >= F.col("__start")) & (F.col("t") < F.col("__end"))).drop("__start", "__end")
+    """Rows once for each span that holds them, with its label; spans may overlap.
+
+    A span becomes the dates of the cube that it holds, so that rows meet spans by equal dates.
+    """
+    dates = spans.withColumn("t", F.explode(F.sequence("__start", F.date_sub("__end", 1)))).filter("__start < __end").select("t", "label")
+    return cube.df.join(small(dates), "t").select(*cube.keys, *cube.bands, "label")
 
 
 def aggregate_temporal(cube: RasterCube, spans: DataFrame, graph: dict | str, dense: bool = True) -> RasterCube:
@@ -77,7 +82,7 @@ def aggregate_temporal(cube: RasterCube, spans: DataFrame, graph: dict | str, de
     found = in_intervals(cube, spans).groupBy("x", "y", "label").agg(*columns)
     if dense:
         # The labels are listed; each cell is repeated for each of them, nothing is paired.
-        grid = cube.df.select("x", "y").distinct().join(F.broadcast(spans.select("label").distinct()))
+        grid = cube.df.select("x", "y").distinct().join(small(spans.select("label").distinct()))
         found = found.join(grid, ["x", "y", "label"], "right")
     return cube.on(found.withColumnRenamed("label", "t"), bands=tuple(bands), types=())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -117,13 +118,14 @@ def predict(cube: RasterCube, model, names: list[str] | None = None, probabiliti
     if model.numFeatures > len(cube.bands):
         raise ValueError(f"the model needs {model.numFeatures} features, the cube has {len(cube.bands)} bands")
     used = list(cube.bands[: model.numFeatures])
-    whole = cube.df.na.drop(subset=used)
-    done = model.transform(VectorAssembler(inputCols=used, outputCol="features").transform(whole))
+    # Missing bands go through the model as zeros and their results are taken back, so the cube is computed once.
+    known = reduce(lambda a, b: a & b, (F.col(b).isNotNull() for b in used))
+    filled = cube.df.withColumn("__known", known).withColumns({f"__{b}": F.coalesce(F.col(b).cast("double"), F.lit(0.0)) for b in used})
+    done = model.transform(VectorAssembler(inputCols=[f"__{b}" for b in used], outputCol="features").transform(filled))
     if probabilities:
         names = names or [f"p{i}" for i in range(model.numClasses)]
-        made = [vector_to_array("probability")[i].alias(n) for i, n in enumerate(names)]
+        made = [F.when(F.col("__known"), vector_to_array("probability")[i]).alias(n) for i, n in enumerate(names)]
     else:
         names = names or ["prediction"]
-        made = [F.col("prediction").alias(names[0])]
-    found = done.select(*cube.keys, *made)
-    return cube.on(cube.df.select(*cube.keys).join(found, cube.keys, "left"), bands=tuple(names), types=())
+        made = [F.when(F.col("__known"), F.col("prediction")).alias(names[0])]
+    return cube.on(done.select(*cube.keys, *made), bands=tuple(names), types=())

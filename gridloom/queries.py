@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -574,7 +575,7 @@ def resample_bilinear(spark, sf_dir):
     return out(grid.resample_bilinear(cube, cube.meta.of(cell_w=2.5, cell_h=0.8), 80, 60))
 
 
-@query(f"{V_SQL} select tcol, trow, x - tcol * 16 + 2 as ix, y - trow * 16 + 1 as iy, x, y, v from (select *, unnest(range(floor((x - 2) / 16)::bigint, floor((x + 2) / 16)::bigint + 1)) as tcol from V), unnest(range(floor((y - 1) / 16)::bigint, floor((y + 1) / 16)::bigint + 1)) r(trow)")
+@query(f"{V_SQL}, o(i, j) as (values (0, 0), (0, 1), (1, 0), (1, 1)) select tcol, trow, x - tcol * 16 + 2 as ix, y - trow * 16 + 1 as iy, x, y, v from (select x, y, v, floor((x - 2) / 16)::bigint + i as tcol, floor((y - 1) / 16)::bigint + j as trow from V cross join o) where tcol <= floor((x + 2) / 16) and trow <= floor((y + 1) / 16)")
 def retile_overlap(spark, sf_dir):
     return grid.retile(V(spark, sf_dir), 16, 16, 2, 1).select("tcol", "trow", "ix", "iy", "x", "y", "v")
 
@@ -732,26 +733,54 @@ def euclidean_distance(spark, sf_dir):
     return out(vector.euclidean_distance(V(spark, sf_dir), at))
 
 
-@query()
+COST_SQL = f"""with recursive {V_SQL[5:]}, f as materialized (select x, y, 1 + abs(v) / 200 as f from V where v is not null), {OFFSETS_3},
+r(n, x, y, d) as (select 0, x, y, 0.0::double from f where x = 3 and y = 3 union all
+  select n, x, y, min(d) from (select n + 1 as n, x, y, d from r union all
+    select r.n + 1, b.x, b.y, r.d + sqrt(dx * dx + dy * dy) * (a.f + b.f) / 2 from r join f a on a.x = r.x and a.y = r.y cross join o join f b on b.x = r.x + dx and b.y = r.y + dy where dx <> 0 or dy <> 0)
+  where n <= 16 and d <= 15 group by n, x, y)
+select x, y, round(d, 6) as cost from r where n = 16"""
+
+
+@query(COST_SQL)
 def cost_distance(spark, sf_dir):
-    cube = mask.filter_bbox(V(spark, sf_dir), 0, -24, 40, 0)
-    friction = cube.with_bands({"f": 1 + F.abs(F.col("v")) / 200})
+    friction = V(spark, sf_dir).with_bands({"f": 1 + F.abs(F.col("v")) / 200})
     return out(vector.cost_distance(friction, spark.createDataFrame([(3.5, -3.5)], "px double, py double"), 15.0))
 
 
-@query()
+REGIONS_SQL = f"""with recursive {V_SQL[5:]}, c as materialized (select x, y, case when v > 0 then 1 else 0 end as value, lpad((y + 2147483648)::varchar, 12, '0') || ':' || lpad((x + 2147483648)::varchar, 12, '0') as l from V),
+e as materialized (select a.x as ax, a.y as ay, b.x as bx, b.y as b_y from c a cross join (values (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy) join c b on b.x = a.x + dx and b.y = a.y + dy and b.value = a.value),
+r(x, y, value, l, moved) as (select x, y, value, l, true from c union all
+  select k.x, k.y, k.value, k.m, k.m < k.l from (select r.x, r.y, r.value, r.l, least(r.l, min(n.l)) as m from r left join e on e.ax = r.x and e.ay = r.y left join r n on n.x = e.bx and n.y = e.b_y group by r.x, r.y, r.value, r.l) k where (select bool_or(moved) from r)),
+last as (select x, y, any_value(value) as value, min(l) as l from r group by x, y),
+sides as (select a.l, count(*) as edges from last a cross join (values (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy) left join last b on b.x = a.x + dx and b.y = a.y + dy where b.l is null or b.l <> a.l group by a.l)
+select 'band0_' || l as id, value, count(*) as cells, any_value(edges) as edges, min(x)::double as xmin, -(max(y) + 1)::double as ymin, (max(x) + 1)::double as xmax, -min(y)::double as ymax from last join sides using (l) group by l, value"""
+
+
+@query(REGIONS_SQL)
 def vectorize(spark, sf_dir):
     cube = V(spark, sf_dir)
     return vector.vectorize(cube.with_bands({"v": F.when(F.col("v") > 0, 1).otherwise(0)})).select("id", "value", "cells", "edges", "xmin", "ymin", "xmax", "ymax")
 
 
-@query()
+def _near_sql(name: str, size: int, cut: float) -> str:
+    """Cells of a mask that stay after erosion by a disc of three cells, seen through a Gaussian of so many cells."""
+    r = size // 2
+    return f"""{name}e as (select m.x, m.y, m.{name} and coalesce(bool_and(n.{name}) and count(n.{name}) = 5, false) as keeps from scl m cross join (values (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) left join scl n on n.x = m.x + dx and n.y = m.y + dy group by m.x, m.y, m.{name}),
+{name}g as (select i as dx, j as dy, floor(exp(-(i * i + j * j) / (2 * ({size} / 6.0::double) ** 2)) * 10000) as w from unnest(range({-r}, {r + 1})) a(i), unnest(range({-r}, {r + 1})) b(j)),
+{name}n as (select m.x + dx as x, m.y + dy as y, sum(w) / (select sum(w) from {name}g) > {cut} as near from {name}e m cross join {name}g where keeps group by m.x + dx, m.y + dy)"""
+
+
+@query(f"{V_SQL}, scl as materialized (select x, y, s not in (2, 4, 5, 6, 7) as a, s in (3, 8, 9, 10, 11) as b from (select x, y, ((floor(v / 20) % 12) + 12) % 12 as s from V)), {_near_sql('a', 5, 0.057)}, {_near_sql('b', 9, 0.025)} select scl.x, scl.y, case when coalesce(an.near, false) or coalesce(bn.near, false) then 1.0 else 0.0 end::double as mask from scl left join an using (x, y) left join bn using (x, y)")
 def dilation_mask(spark, sf_dir):
     cube = V(spark, sf_dir)
     return focal.dilation_mask(cube.with_bands({"scl": F.pmod(F.floor(F.col("v") / 20), F.lit(12))}), 3, kernel1=5, kernel2=9).df
 
 
-@query()
+@query(f"""{V_SQL}, k as (select c.x, c.y, abs(c.v - n.v) / 10000 as d, n.v * 2 + 900 as coarse from V c cross join (select i as dx, j as dy from unnest(range(-2, 3)) a(i), unnest(range(-2, 3)) b(j) where i * i + j * j <= 4) o join V n on n.x = c.x + dx and n.y = c.y + dy where c.v is not null and n.v is not null),
+l as (select x, y, case {" ".join(f"when count(*) filter (d < {c}) >= 5 then {c}" for c in focal.SPECTRAL_CLASSES)} else {focal.SPECTRAL_CLASSES[-1]} end as top from k group by x, y),
+u as (select k.*, min(d) filter (d > 0) over w as low, max(d) over w as high from k join l using (x, y) where d < top window w as (partition by x, y)),
+w as (select *, case when d = 0 or low is null or low = high then 1.0 else 1 / (1 + exp(25 * (d - low) / (high - low) - 7.5)) end as g from u)
+select V.x, V.y, round(c, 6) as coarse from V left join (select x, y, sum(g * coarse) / sum(g) as c from w group by x, y) using (x, y)""")
 def sharpen(spark, sf_dir):
     cube = V(spark, sf_dir)
     made = cube.with_bands({"fine": F.col("v") + 1000, "coarse": F.col("v") * 2 + 900})
@@ -797,7 +826,27 @@ def water_vapour(spark, sf_dir):
 COEFFICIENTS = "\n".join(["-0.003 0.78", "-0.05 0.99", "0 0 0", "0 0 0", "0 0 0", "0 0 0", "0 0 0", "0.025 0.2 -0.08 0.017", "1.1 -0.19 -0.045 -0.19", "0.045 0.041", "0 0.8", "0.88 0.63", "6.8 -0.19 0.002", "-0.00001 0.00000002", "-0.0002 -0.002", "-0.003 -0.001", "-0.0005 0.0004 0.02", "-0.0026 -0.013", "-0.02 -0.01"])
 
 
-@query()
+_K = {n: v for n, v in zip(("h2o", "o3", "o2", "co2", "ch4", "no2", "co", "s", "t", "r", "d", "wg", "p1", "p2", "a1", "a2", "b", "c1", "c2"), ([float(x) for x in line.split()] for line in COEFFICIENTS.split("\n")), strict=True)}
+_W, _G = _K["wg"][0], _K["wg"][1]
+_P, _R, _A = _K["p1"] + _K["p2"], _K["a1"] + _K["a2"], _K["c1"] + _K["c2"]
+CORRECTION_SQL = f"""{L_SQL}, k as (select x, y, t, price / 100000 as toa, cos(radians(20 + x * 3)) as ms, cos(radians(5.0)) as mv, 1013.0 / 1013.25 as lv, 0.2::double as aot,
+  greatest(-1, least(1, -(cos(radians(20 + x * 3)) * cos(radians(5.0)) + sin(radians(20 + x * 3)) * sin(radians(5.0)) * cos(radians(120.0))))) as sc,
+  {1 - _W} as rest, {3 - 3 * _W * _G} as op, sqrt({(1 - _W) * (3 - 3 * _W * _G)}) as df from L),
+a as (select *, 1 / ms + 1 / mv as mass, {_K["d"][0]} + {_K["d"][1]} * aot as tau, 2 * df / op as ra, exp({_K["h2o"][0]} * pow(0.3 * (1 / ms + 1 / mv), {_K["h2o"][1]}) + {_K["o3"][0]} * pow(0.3 * (1 / ms + 1 / mv), {_K["o3"][1]})) as gas,
+  {_K["r"][0]} * (0.7190443 * (1 + sc * sc) + 0.0412742) / (ms * mv) as mol, 1 - df * df * ms * ms as dm,
+  ({_K["t"][0]} + {_K["t"][1]} * aot / ms + ({_K["t"][2]} * lv + {_K["t"][3]}) / (1 + ms)) * ({_K["t"][0]} + {_K["t"][1]} * aot / mv + ({_K["t"][2]} * lv + {_K["t"][3]}) / (1 + mv)) as thru from k),
+b as (select *, exp(df * tau) as up, exp(-df * tau) as dn, -3 * {_W} * ms * ms / (4 * dm) as ev, 2 + 3 * ms + 3 * {_G} * rest * ms * (1 + 2 * ms) as pl, (2 - 3 * ms - 3 * {_G} * rest * ms * (1 - 2 * ms)) * exp(-tau / ms) as mi, 3 * {_W} * {_G} * mv as tn, degrees(acos(sc)) as an from a),
+c as (select *, {_W} / 4 * ms / dm / (up * (1 + ra) ** 2 - dn * (1 - ra) ** 2) as so, {_G} * rest * ev as od from b),
+d as (select *, so * (pl * up * (1 + ra) + mi * (1 - ra)) * (1 - tn * df / op) as q1, mv / (1 + df * mv) as l1, -so * (pl * dn * (1 - ra) + mi * (1 + ra)) * (1 + tn * df / op) as q2, mv / (1 - df * mv) as l2,
+  ev + od - tn * (ev / (3 * ms) + ms * od) + {_W} * ({_P[0]} + an * ({_P[1]} + an * ({_P[2]} + an * ({_P[3]} + an * {_P[4]})))) / 4 as q3, ms * mv / (ms + mv) as l3,
+  (tau + {_K["r"][0]} * lv) * mass * sc as u, tau * mass * sc as z from c),
+e as (select *, (q1 * l1 * (1 - exp(-tau / l1)) + q2 * l2 * (1 - exp(-tau / l2)) + q3 * l3 * (1 - exp(-tau / l3))) / (ms * mv) as ae,
+  ({_R[0]} + u * ({_R[1]} + u * ({_R[2]} + u * {_R[3]}))) - ({_K["b"][0]} + mol * ({_K["b"][1]} + mol * {_K["b"][2]})) - ({_A[0]} + z * ({_A[1]} + z * ({_A[2]} + z * {_A[3]}))) as re from d),
+g as (select *, toa - (mol / 4 * lv + ae + re) * gas as li, {_K["s"][0]} * lv + {_K["s"][3]} + {_K["s"][1]} * aot + {_K["s"][2]} * aot * aot as al from e)
+select x, y, t, round(greatest(li / (gas * thru + li * al), 0) * 10000, 6) as price from g"""
+
+
+@query(CORRECTION_SQL)
 def atmospheric_correction(spark, sf_dir):
     cube = mask.filter_bands(L(spark, sf_dir), ["price"])
     angles = {"sza": 20 + F.col("x") * 3, "vza": 5.0, "raa": 120.0, "aot": 0.2, "ozone": 0.3}
@@ -837,14 +886,16 @@ def udf_features(spark, sf_dir):
     return found.select("feature_index", "x", "y", "t", F.round("click", 4).alias("click"))
 
 
-@query()
+@query(f"{L_SQL} select x, y, t, case when qty <= 100 or price > 5000 then 1.0 else 0.0 end::double as p0, case when qty <= 100 or price > 5000 then 0.0 else 1.0 end::double as p1 from L")
 def predict_forest(spark, sf_dir):
+    """A forest whose one tree is known: it is trained on four points, so its cuts are the middles 100 and 5000."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    cube = L(spark, sf_dir)
-    rows = cube.df.select(*cube.bands, (F.col("qty") > 100).cast("double").alias("label"))
-    model = RandomForestClassifier(numTrees=5, maxDepth=4, seed=1).fit(VectorAssembler(inputCols=list(cube.bands), outputCol="features").transform(rows))
+    cube = mask.filter_bands(L(spark, sf_dir), ["qty", "price"])
+    rows = spark.createDataFrame([(50.0, 2500.0, 0.0), (50.0, 7500.0, 0.0), (150.0, 7500.0, 0.0), (150.0, 2500.0, 1.0)], "qty double, price double, label double")
+    vectors = VectorAssembler(inputCols=["qty", "price"], outputCol="features").transform(rows)
+    model = RandomForestClassifier(numTrees=1, maxDepth=2, bootstrap=False, featureSubsetStrategy="all", seed=1).fit(vectors)
     return out(udf.predict(cube, model, probabilities=True))
 
 
@@ -864,8 +915,151 @@ def sessions(spark, sf_dir):
 DEGREES = CubeMeta(("v",), has_time=False, xmin=0.0, ymax=0.0, cell_w=0.1, cell_h=0.1, crs="EPSG:4326")
 
 
-@query()
+@query(f"{V_SQL}, xs as (select i as x, floor((i + 0.5) * 20000 / (pi() / 180 * 6378137.0) / 0.1)::bigint as sx from unnest(range(110)) u(i)), ys as (select j as y, floor(-(atan(exp(-(j + 0.5) * 20000 / 6378137.0)) * 2 - pi() / 2) * (180 / pi()) / 0.1)::bigint as sy from unnest(range(60)) u(j)) select xs.x, ys.y, v from V join xs on V.x = sx join ys on V.y = sy")
 def resample_mercator(spark, sf_dir):
     cube = V(spark, sf_dir)
     source = RasterCube(cube.df, DEGREES)
     return grid.resample_nearest(source, DEGREES.of(cell_w=20000.0, cell_h=20000.0, crs="EPSG:3857"), 110, 60).df
+
+
+# Features with several rings, other joins and masks
+
+
+HOLED = "POLYGON ((0 0, 16 0, 16 -9, 0 -9, 0 0), (4 -2, 10 -2, 10 -6, 4 -6, 4 -2))"
+IN_HOLED = "x >= 0 and x < 16 and y >= 0 and y < 9 and not (x >= 4 and x < 10 and y >= 2 and y < 6)"
+
+
+@query(f"{E_SQL} select t, 0 as feature_index, round(avg(click), 6) as click_mean, count(click) as click_count, count(*) as click_count_all from E where {IN_HOLED} group by t")
+def agg_spatial_holes(spark, sf_dir):
+    cube = mask.filter_bands(E(spark, sf_dir), ["click"])
+    return rounded(zonal.aggregate_spatial(cube, vector.features_of_wkt(spark, [HOLED]), ["mean", "count", "count_all"], all_features=False))
+
+
+@query(f"{V_SQL} select x, y, v from V where (x >= 10 and x < 60 and y >= 5 and y < 30 and not (x >= 20 and x < 30 and y >= 10 and y < 20)) or (x >= 100 and x < 180 and y >= 40 and y < 70)")
+def mask_multipolygon(spark, sf_dir):
+    parts = [[[[10, -5], [60, -5], [60, -30], [10, -30], [10, -5]], [[20, -10], [30, -10], [30, -20], [20, -20], [20, -10]]], [[[100, -40], [180, -40], [180, -70], [100, -70], [100, -40]]]]
+    text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "MultiPolygon", "coordinates": parts}}]})
+    return zonal.mask_features(V(spark, sf_dir), vector.read_geojson(spark.createDataFrame([(text,)], "value string"))).df
+
+
+@query(f"{V_SQL}, {VZ_SQL} select feature_index, count(*) filter (v > 100) as v_high_count, max(v) as v_max from V join zones on {IN_ZONE} group by all")
+def agg_spatial_condition(spark, sf_dir):
+    graph = {"g": node("gt", x={"from_parameter": "x"}, y=100)}
+    return zonal.aggregate_spatial(V(spark, sf_dir), zonal.boxes(spark, VECTOR_ZONES), ["max"], False, conditions={"high": graph})
+
+
+@query(f"{V_SQL}, s as (select 0 as f, unnest(range(0, 120)) as x, 7 as y union all select 1, 33, unnest(range(2, 50))) select f as feature_index, round(avg(v), 6) as v_mean, max(v) as v_max, count(v) as v_count from V join s using (x, y) group by f")
+def agg_lines(spark, sf_dir):
+    lines = vector.lines_of_wkt(spark, ["LINESTRING (0.5 -7.5, 119.5 -7.5)", "LINESTRING (33.25 -2.5, 33.25 -49.5)"])
+    return rounded(zonal.aggregate_lines(V(spark, sf_dir), lines, ["mean", "max", "count"]))
+
+
+@query("with a as (select s_suppkey as i, s_suppkey % 37 as x0, s_suppkey % 23 as y0 from supplier), b as (select n_nationkey as i, n_nationkey * 3 % 40 as x0, n_nationkey % 20 as y0 from nation) select a.i::integer as left_index, b.i as right_index from a join b on a.x0 <= b.x0 + 4.5 and b.x0 <= a.x0 + 2.25 and a.y0 <= b.y0 + 1.5 and b.y0 <= a.y0 + 2.25")
+def features_join(spark, sf_dir):
+    def box(table: str, key: str, x, y, w: float, h: float) -> DataFrame:
+        rows = derived.table(spark, sf_dir, table).select(F.col(key).cast("int").alias("feature_index"), x.cast("double").alias("xmin"), y.cast("double").alias("ymin"))
+        rings = F.lit(None).cast("array<array<struct<x: double, y: double>>>")
+        return rows.select("feature_index", "xmin", "ymin", (F.col("xmin") + w).alias("xmax"), (F.col("ymin") + h).alias("ymax"), rings.alias("rings"))
+
+    left = box("supplier", "s_suppkey", F.col("s_suppkey") % 37, F.col("s_suppkey") % 23, 2.25, 2.25)
+    right = box("nation", "n_nationkey", F.col("n_nationkey") * 3 % 40, F.col("n_nationkey") % 20, 4.5, 1.5)
+    return vector.intersecting(left, right, 5.0)
+
+
+def _flags(sf: tuple) -> tuple[RasterCube, RasterCube]:
+    cube = V(*sf)
+    return cube.with_bands({"v": (F.col("v") > 0).cast("long")}), cube.on(cube.df.filter("x % 3 <> 0")).with_bands({"v": (F.col("v") > 100).cast("long")})
+
+
+for _name, _sql in {"or": "a | b", "and": "a & b", "xor": "xor(a, b)", "add": "a + b", "multiply": "a * b"}.items():
+
+    def _overlap(spark, sf_dir, name=_name):
+        return merge.merge_cubes(*_flags((spark, sf_dir)), name).df
+
+    query(f"{V_SQL}, k as (select x, y, (v > 0)::bigint as a, case when x % 3 <> 0 then (v > 100)::bigint end as b from V) select x, y, case when b is null then a else ({_sql})::bigint end as v from k", f"merge_{_name}")(_overlap)
+
+
+@query(f"{V_SQL} select x, y, case when x % 2 = 0 and v > 50 then null else v end as v from V")
+def mask_spatial_both(spark, sf_dir):
+    cube = V(spark, sf_dir)
+    side = cube.on(cube.df.filter("x % 2 = 0")).with_bands({"m": (F.col("v") > 50).cast("int")})
+    return mask.raster_mask(cube, side).df
+
+
+@query(f"{V_SQL} select x // 8 as tcol, y // 8 as trow, count(*) as cells, 1::bigint as parts from V group by all")
+def partition_by_space(spark, sf_dir):
+    """Cells of a tile lie in one partition."""
+    cube = grid.partition_by_space(V(spark, sf_dir), 4)
+    df = cube.df.withColumn("p", F.spark_partition_id())
+    return df.groupBy(F.expr("x div 8").alias("tcol"), F.expr("y div 8").alias("trow")).agg(F.count("*").alias("cells"), F.count_distinct("p").alias("parts"))
+
+
+@query(f"{L_SQL} select x, y, t, round(asin(disc) + {OFF}, 6) as a, round(acos(disc) + {OFF}, 6) as b, round((exp(disc) - exp(-disc)) / 2 + {OFF}, 6) as c, round((exp(disc) + exp(-disc)) / 2 + {OFF}, 6) as d, round((exp(2 * disc) - 1) / (exp(2 * disc) + 1) + {OFF}, 6) as e from L")
+def apply_hyperbolic(spark, sf_dir):
+    cube = mask.filter_bands(L(spark, sf_dir), ["disc"])
+    made = [local.apply(cube, {"p": node(p, x=X)}) for p in ("arcsin", "arccos", "sinh", "cosh", "tanh")]
+    joined = made[0].df.withColumnRenamed("disc", "a")
+    for name, more in zip("bcde", made[1:], strict=True):
+        joined = joined.join(more.df.withColumnRenamed("disc", name), cube.keys)
+    return rounded(joined.select(*cube.keys, *((F.col(c) + float(OFF)).alias(c) for c in "abcde")))
+
+
+@query(f"{L_SQL} select x, y, t, qty = 50 as a, qty <> 50 as b, qty < 50 as c, qty > 50 as d from L")
+def apply_compare(spark, sf_dir):
+    cube = mask.filter_bands(L(spark, sf_dir), ["qty"])
+    made = [local.apply(cube, {"p": node(p, x=X, y=50)}) for p in ("eq", "neq", "lt", "gt")]
+    joined = made[0].df.withColumnRenamed("qty", "a")
+    for name, more in zip("bcd", made[1:], strict=True):
+        joined = joined.join(more.df.withColumnRenamed("qty", name), cube.keys)
+    return joined
+
+
+@query(f"{E_SQL}, c as (select x // 8 as a, y // 8 as b, t, avg(case when error is not null then 1.0 else 0.0 end) as share from E group by all) select E.x, E.y, E.t, round(click, 6) as click from E join c on E.x // 8 = a and E.y // 8 = b and E.t = c.t where share < 0.5")
+def without_clouded(spark, sf_dir):
+    cube = E(spark, sf_dir)
+    tx, ty = cube.meta.tile_of()
+    clouds = cube.df.groupBy(tx.alias("tcol"), ty.alias("trow"), "t").agg(F.avg(F.col("error").isNotNull().cast("double")).alias("share"))
+    return out(mask.filter_bands(sensors.without_clouded(cube, clouds, 0.5), ["click"]))
+
+
+@query(f"{V_SQL}, z(i, a, b, c, d, n, w) as (values (0, 0, 60, 0, 40, 3.0, 7.0), (1, 30, 200, 3, 20, 4.0, null)) select x, y, null::timestamp as t, 'pop' as band, arg_max(n, i)::double as value from V join z on x >= a and x < b and y >= c and y < d group by x, y union all select x, y, timestamp '2021-01-05', 'b1', arg_max(coalesce(w, 'nan'::double), i)::double from V join z on x >= a and x < b and y >= c and y < d where w is not null group by x, y")
+def vector_raster(spark, sf_dir):
+    def feature(box: tuple, properties: dict) -> dict:
+        a, b, c, d = box
+        return {"type": "Feature", "properties": properties, "geometry": {"type": "Polygon", "coordinates": [[[a, -c], [b, -c], [b, -d], [a, -d], [a, -c]]]}}
+
+    made = [feature((0, 60, 0, 40), {"pop": 3.0, "2021-01-05T00:00:00Z~b1": 7.0}), feature((30, 200, 3, 20), {"pop": 4.0})]
+    text = json.dumps({"type": "FeatureCollection", "features": made})
+    cube = V(spark, sf_dir)
+    return vector.vector_to_raster(vector.read_geojson(spark.createDataFrame([(text,)], "value string")), cube.df, cube.meta)
+
+
+@query("select o_orderkey, o_orderdate::date as folder, o_orderdate::date as compact, o_orderdate::date as dashed from orders")
+def path_dates(spark, sf_dir):
+    from gridloom.sources.readers import path_date
+
+    o = derived.table(spark, sf_dir, "orders")
+    names = {k: F.concat(F.lit(f"/data/{k}"), F.date_format("o_orderdate", form), F.lit("T101010.tif")) for k, form in (("folder", "/yyyy/MM/dd/"), ("compact", "_yyyyMMdd"), ("dashed", "-yyyy-MM-dd"))}
+    return o.select("o_orderkey", *(path_date(names[k], kind).alias(k) for k, kind in (("folder", "day folders"), ("compact", "compact"), ("dashed", "dashed"))))
+
+
+for _name, _sql in {"average": "avg(v)", "min": "min(v)", "max": "max(v)", "med": "median(v)", "q3": "quantile_cont(v, 0.75)", "rms": "sqrt(avg(v * v))", "sum": "sum(v)"}.items():
+
+    def _resampled(spark, sf_dir, name=_name):
+        cube = V(spark, sf_dir)
+        edge = cube.df.agg(F.max("x"), F.max("y")).first()
+        return out(grid.resample(cube, cube.meta.of(cell_w=3.0, cell_h=5.0), edge[0] // 3 + 1, edge[1] // 5 + 1, name))
+
+    query(f"{V_SQL} select x // 3 as x, y // 5 as y, round({_sql}, 6) as v from V group by all", f"resample_{_name}")(_resampled)
+
+
+@query("with p as (select s_suppkey as product, s_suppkey % 5 as dy, 8.0 * (s_suppkey % 11) - 3 as xmin, -6.0 * (s_suppkey % 7) - 9 as ymin from supplier), q as (select product, dy, xmin, xmin + 13 as xmax, ymin, ymin + 9 as ymax from p), k as (select product, dy, xmin, xmax, ymin, ymax, unnest(range(floor(xmin / 8)::bigint, ceil(xmax / 8)::bigint)) as tcol from q), m as (select *, unnest(range(floor(-ymax / 8)::bigint, ceil(-ymin / 8)::bigint)) as trow from k), c as (select *, xmin <= 8 * tcol and xmax >= 8 * tcol + 8 and ymax >= -8 * trow and ymin <= -8 * trow - 8 as covers, sqrt(((xmin + xmax) / 2 - 8 * tcol - 4) ** 2 + ((ymin + ymax) / 2 + 8 * trow + 4) ** 2) as distance from m), r as (select *, row_number() over w as rank, coalesce(bool_or(covers) over (w rows between unbounded preceding and 1 preceding), false) as hidden from c window w as (partition by dy, tcol, trow order by round(distance, 9), product)) select product, dy::integer as dy, tcol, trow, covers, rank::integer as rank from r where not hidden")
+def load_products(spark, sf_dir):
+    """Suppliers as products: which tile takes which, nearest first, up to the first that covers it."""
+    from gridloom.sources import loader
+
+    key = F.col("s_suppkey")
+    p = derived.table(spark, sf_dir, "supplier").select(key.alias("product"), (key % 5).cast("int").alias("dy"), (key % 11 * 8.0 - 3).alias("xmin"), (key % 7 * -6.0 - 9).alias("ymin"))
+    p = p.select("product", F.expr("date_add(date '2024-01-01', dy)").alias("t"), "xmin", "ymin", (F.col("xmin") + 13).alias("xmax"), (F.col("ymin") + 9).alias("ymax"))
+    pairs = loader.on_tiles(p, CubeMeta(("v",), xmin=0.0, ymax=0.0)).withColumn("distance", F.round("distance", 9))
+    return loader.resolve(pairs).select("product", F.datediff("t", F.lit("2024-01-01").cast("date")).alias("dy"), "tcol", "trow", "covers", "rank")

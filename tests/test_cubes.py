@@ -466,3 +466,62 @@ def test_local_and_bands(spark):
         mask.filter_bands(c, [5])
     with pytest.raises(ValueError):
         RasterCube(c.df, CubeMeta(("zz",)))
+
+
+@pytest.mark.parametrize("kind", ["u1", "i2", "u2", "i4", "f4", "f8"])
+def test_geotiff_round_trip(kind):
+    from gridloom.sources import geotiff
+
+    rng = np.random.default_rng(2)
+    values = rng.integers(1, 100, (3, 70, 45)).astype(float)
+    values[0, 3, 4] = values[2, 69, 44] = np.nan
+    made = geotiff.write(geotiff.Raster(values, 500000.0, 5.6e6, 10.0, 20.0, 32631, None if kind[0] == "f" else 0), tile=16, kind=kind)
+    got = geotiff.read(made)
+    assert np.array_equal(got.values, values, equal_nan=True)
+    assert (got.xmin, got.ymax, got.cell_w, got.cell_h, got.epsg) == (500000.0, 5.6e6, 10.0, 20.0, 32631)
+
+
+def test_geotiff_strips():
+    from gridloom.sources import geotiff
+
+    assert np.array_equal(geotiff.read(sinks.tiff(np.arange(24.0).reshape(2, 3, 4))).values, np.arange(24.0).reshape(2, 3, 4))
+    with pytest.raises(ValueError):
+        geotiff.read(b"GIF89a, not a TIFF")
+
+
+def test_geotiff_files(spark, tmp_path):
+    from gridloom.sources import geotiff
+
+    c = cube(spark, [(x, y, d, x + 100 * y, x if x != 7 else None) for x in range(5, 35) for y in range(3, 20) for d in D[:2]], ("a", "b"), xmin=100.0, ymax=900.0, cell_w=10.0, cell_h=10.0, crs="EPSG:32631")
+    assert geotiff.save(geotiff.files(c, cells=16), str(tmp_path)) == 2 * 3 * 2
+    back = geotiff.load(spark, f"{tmp_path}/*.tif", c.meta, r"_(\d{4})(\d{2})(\d{2})_")
+    assert cells(back) == cells(c)
+    assert {r["name"] for r in geotiff.files(mask.at_instant(c, D[0]), cells=64, by_band=True).select("name").collect()} == {"cube_0_0_a.tif", "cube_0_0_b.tif"}
+
+
+def test_loader(spark):
+    from gridloom.sources import loader
+
+    meta = CubeMeta(("v",), xmin=0.0, ymax=0.0, tile_cols=4, tile_rows=4)
+    products = spark.createDataFrame([("a", D[0], 0.0, -8.0, 8.0, 0.0), ("b", D[0], 2.0, -8.0, 12.0, 0.0), ("c", D[1], 3.0, -5.0, 5.0, -3.0)], "product string, t date, xmin double, ymin double, xmax double, ymax double")
+    pairs = loader.on_tiles(products, meta).cache()
+    got = {(r["product"], r.tcol, r.trow): r.covers for r in pairs.collect()}
+    assert {k[1:] for k in got if k[0] == "a"} == {(x, y) for x in (0, 1) for y in (0, 1)} and got["a", 1, 1] and not got["b", 0, 0] and got["b", 2, 1]
+    assert {k[1:] for k in got if k[0] == "c"} == {(x, y) for x in (0, 1) for y in (0, 1)}
+    kept = loader.resolve(pairs)
+    assert {(r["product"], r.tcol) for r in kept.filter("t = '2017-01-01' and trow = 0").collect()} == {("a", 0), ("b", 1), ("b", 2)}
+    rows = [("a", x, 0, float(x) if x != 5 else None) for x in range(8)] + [("b", x, 0, 100.0 + x) for x in range(2, 12)]
+    own = spark.createDataFrame(rows, "product string, x long, y long, v double")
+    ranked = pairs.withColumn("rank", F.when(F.col("product") == "a", 1).otherwise(2))
+    made = cells(loader.load_products(own, ranked, meta))
+    assert made[(1, 0, D[0])] == 1 and made[(5, 0, D[0])] == 105 and made[(9, 0, D[0])] == 109 and len(made) == 12
+    clouds = spark.createDataFrame([("a", 0.9), ("zz", 1.0)], "product string, share double")
+    assert {(r.tcol, r.trow) for r in loader.too_cloudy(pairs, clouds, 0.5).collect()} == set()
+    assert (D[0], 0, 0) in {tuple(r) for r in loader.too_cloudy(pairs.filter("product = 'a'"), clouds, 0.5).collect()}
+
+
+def test_local_extras(spark):
+    a, b = flat(spark, [[-1, 2, None]]), flat(spark, [[5, 1, 1]])
+    assert list(cells(merge.local(a, "min", b)).values()) == [-1, 1, None] and list(cells(merge.absolute(a)).values()) == [1, 2, None]
+    assert set(cells(merge.difference(b, flat(spark, [[0, 0]])))) == {(2, 0)}
+    assert cells(a.persist().unpersist()) == cells(a)
