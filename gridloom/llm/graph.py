@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import folder, remove
 
 
 def _written(edges: DataFrame) -> tuple[str, DataFrame, tuple]:
-    """(folder, edges as written there, their number and digest); the latter are taken while writing."""
+    """(folder, edges as written there, their number and digest).
+
+    The digest reads the written table. It isn't observed while writing: a session that has observed anything can no
+    longer send out closures that hold it, as those of fitted models do.
+    """
     spark = edges.sparkSession
-    path, seen = f"{folder(spark)}/{uuid.uuid4().hex}", Observation()
-    edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")).write.parquet(path)
-    return path, spark.read.schema(edges.schema).parquet(path), (seen.get["n"], seen.get["digest"])
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    edges.write.parquet(path)
+    now = spark.read.schema(edges.schema).parquet(path)
+    return path, now, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
