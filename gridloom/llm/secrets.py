@@ -37,17 +37,15 @@ FINDINGS = 4000
 
 #: Frequent words of code and paths.
 DICTIONARY = (
-    "about access account action address admin agent amount application archive array article asset author backup base block body border button cache call "
-    "center change channel char check class client code color column command comment common config connect content control count create current customer data "
-    "date debug default delete design detail device display document domain download editor element email engine entry error event example export extra "
-    "feature field file filter font format frame function gallery global group handle header height help history home hook host html image import index "
-    "info input install integer interface internal item java javascript job json kernel label language layout length level library license line link list load "
-    "local location login main manager map media member menu message method model module month music name network news node note number object offset "
-    "option order output package page panel parent path people photo plugin point post print process product profile project public query queue quick "
-    "range read record region release report request resource response result return role root route rule sample schema script search section select "
-    "sequence server service session setting share shop simple site size source start state static status stock store string style submit support system "
-    "table target task team template test text theme thread time title tool total trace track type unit update upload user util value vector version video view "
-    "web width window word work write year zone"
+    "about access account action address admin amount application archive article author backup block body border button call center change char check "
+    "class client code column command comment common connect content control count create current data debug default delete design detail device display "
+    "document domain download editor element email engine error event example export feature field file filter format function global group handle header "
+    "help history home hook host html image import index info install integer internal item java javascript json label language layout length level library "
+    "license line link list load local location login main manager map menu message method model module name node number object offset option output "
+    "package page parent path point print process profile project public query queue range read record region release report request resource response "
+    "result return role root route schema script search section select sequence server service session setting share simple size source start state static "
+    "status stock style submit support system table target task team template test text theme time title tool total type update upload user util value "
+    "vector version video view width window word work write"
 ).split()
 #: Words that the documents add, the most frequent ones, of so many letters, in so many documents at least.
 VOCABULARY, LETTERS, DOCUMENTS = 5000, (4, 20), 3
