@@ -154,10 +154,11 @@ def _gradients(cube: RasterCube, band: str, z_factor: Column | float) -> tuple[d
             at[f"v{dy + 1}{dx + 1}"] = F.max(F.when((F.col("dx") == dx) & (F.col("dy") == dy), F.col(band)))
 
     def v(name: str) -> Column:
-        return F.coalesce(F.col(name), F.col("v11")) * z_factor
+        return F.coalesce(F.col(name), F.col("v11"))
 
-    east = ((v("v02") + 2 * v("v12") + v("v22")) - (v("v00") + 2 * v("v10") + v("v20"))) / (8 * cube.meta.cell_w)
-    south = ((v("v20") + 2 * v("v21") + v("v22")) - (v("v00") + 2 * v("v01") + v("v02"))) / (8 * cube.meta.cell_h)
+    # The factor comes after the differences: rounded before, sides that are equal would leave a slope.
+    east = ((v("v02") + 2 * v("v12") + v("v22")) - (v("v00") + 2 * v("v10") + v("v20"))) * z_factor / (8 * cube.meta.cell_w)
+    south = ((v("v20") + 2 * v("v21") + v("v22")) - (v("v00") + 2 * v("v01") + v("v02"))) * z_factor / (8 * cube.meta.cell_h)
     return at, east, south
 
 

@@ -236,6 +236,14 @@ def test_slope_of_a_plane(spark):
     assert cells(focal.tobler(flat(spark, [[0]])))[(0, 0)] == pytest.approx(6 * np.exp(-3.5 * 0.05))
 
 
+def test_equal_sides_leave_no_slope(spark):
+    level = flat(spark, [[273, -119, -25], [-59, 0, -64], [-276, 127, 32]])
+    assert cells(focal.aspect(level, z_factor=0.01))[(1, 1)] is None
+    assert cells(focal.slope(level, z_factor=0.01))[(1, 1)] == 0
+    south = flat(spark, [[-110, 3, -85], [40, 212, 132], [219, -106, 10]])
+    assert cells(focal.aspect(south, z_factor=0.01))[(1, 1)] == 0
+
+
 def test_dilation(spark):
     rows = [[4] * 11 for _ in range(11)]
     rows[5][5] = 9
