@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.cube import RasterCube
@@ -15,10 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mean(v: Column) -> Column:
+    """The mean of a double column whatever the order of its rows.
+
+    Six decimals of the values are added as decimals, without rounding errors; only what is beyond them (or over 12 digits)
+    is added as doubles. A plain sum of doubles ends beside a whole mean, on either side, as the rows happen to come.
+    """
+    part = v.try_cast("decimal(18,6)")
+    rest = F.sum(v - F.coalesce(part.cast("double"), F.lit(0.0)))
+    return (F.coalesce(F.sum(part).cast("double"), F.lit(0.0)) + rest) / F.nullif(F.count(v), F.lit(0))
+
+
 def events_cube(spark: SparkSession, sf_dir: str) -> RasterCube:
     """x, y from the user, t the day; a band for each type of event: its mean value."""
     e = table(spark, sf_dir, "events")
-    bands = [F.avg(F.when(F.col("event_type") == b, F.col("value"))).alias(b) for b in EVENT_BANDS]
+    bands = [mean(F.when(F.col("event_type") == b, F.col("value"))).alias(b) for b in EVENT_BANDS]
     df = e.groupBy((F.col("user_id") % 16).alias("x"), F.expr("user_id div 16").alias("y"), F.col("ts").cast("date").alias("t")).agg(*bands)
     return RasterCube(df, CubeMeta(EVENT_BANDS))
 

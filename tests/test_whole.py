@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from datetime import date
+from datetime import date, datetime
 
 import numpy as np
 import pytest
@@ -77,3 +77,21 @@ def test_closest_in_time_missing_values_and_ties(spark):
     assert prices(5) == [5.0, 5.0, 3.0, 3.0, None, None, None, None, None, None]
     assert prices(6) == [5.0, 5.0, 3.0, 3.0, 3.0, None, None, None, None, None]
     assert prices(0) == [5.0] + [None] * 9
+
+
+def test_means_of_events_dont_depend_on_the_order(spark, tmp_path):
+    """Forty copies of values whose mean is 38: doubles added in either order end beside it."""
+    values = [77.67, 10.74, 2.16, 61.43]
+    for name, held in (("up", values), ("down", values[::-1])):
+        rows = [(i, datetime(2024, 1, 1), 17, "click", v, "") for i, v in enumerate(held * 40)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        (row,) = queries.QUERIES["apply_int"](spark, f"{tmp_path}/{name}").collect()
+        assert (row.click, row.view) == (38, None)
+
+
+def test_mean_of_any_doubles(spark):
+    held = {"a": [1 / 3, 2 / 3, None], "b": [1e-9, 3e-9], "c": [1e300, 1e300], "d": [float("nan"), 1.0], "e": [float("inf"), 1.0], "f": [None], "g": [-0.25, 123456789012345.5]}
+    df = spark.createDataFrame([(k, v) for k, vs in held.items() for v in vs], "k string, v double")
+    got = {r.k: r.m for r in df.groupBy("k").agg(derived.mean(F.col("v")).alias("m")).collect()}
+    assert got["a"] == pytest.approx(0.5, rel=1e-15) and got["b"] == pytest.approx(2e-9, rel=1e-12) and got["c"] == 1e300
+    assert np.isnan(got["d"]) and got["e"] == float("inf") and got["f"] is None and got["g"] == 61728394506172.625
