@@ -19,7 +19,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import filterfalse, islice
+from itertools import compress, count, filterfalse, islice
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -146,16 +147,27 @@ class Encoder:
             plain = iter(self._encode(asked) if asked else ())
             cut = [self._lines(t) if t and not w else [] for t, w in zip(some, whole, strict=True)]
             self._turn()
-            starts, parts = set(), set()
-            unknown = self.seen[1].__contains__
+            starts, parts, held = set(), set(), []
+            known = self.seen[1].get
             for lines in cut:
                 for line in lines:
                     starts.add(line[0])
-                    parts.update(filterfalse(unknown, islice(line, 1, None)))
-            self._learn(0, starts.difference(self.seen[0]))
+                    # One look at each word: its ids, or None where they have to be asked for.
+                    found = list(map(known, islice(line, 1, None)))
+                    new = list(compress(count(1), map(not_, found)))
+                    parts.update(map(line.__getitem__, new))
+                    held.append((found, new))
+            self._learn(0, set(filterfalse(self.seen[0].__contains__, starts)))  # difference() would go through the memory
             self._learn(1, parts)
-            first, rest = self.seen[0], self.seen[1].__getitem__
-            out += [next(plain) if w else self.newline.join([first[line[0]] + b"".join(map(rest, islice(line, 1, None))) for line in lines]) if lines else b"" for lines, w in zip(cut, whole, strict=True)]
+            first, rest, looked = self.seen[0], self.seen[1], iter(held)
+
+            def line_ids(line: list[str]) -> bytes:
+                found, new = next(looked)
+                for i in new:
+                    found[i - 1] = rest[line[i]]
+                return first[line[0]] + b"".join(found)
+
+            out += [next(plain) if w else self.newline.join(map(line_ids, lines)) if lines else b"" for lines, w in zip(cut, whole, strict=True)]
         return out
 
     def ids(self, text: str) -> bytes:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from gridloom.llm import tokenfile
-from gridloom.llm.common import folder
+from gridloom.llm.common import Memory, folder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ENCODER = tokenfile.Encoder(PATH)
@@ -110,3 +110,29 @@ def test_empty(spark):
     path = tokenfile.new_path(spark)
     tokenfile.write(spark.createDataFrame([], "doc_id long, text string"), PATH, path)
     assert tokenfile.positions(spark, path).collect() == []
+
+
+def test_known_words_are_looked_up_once():
+    """A text costs one look a word, and none through all that is remembered."""
+    asked = []
+
+    class Watched(Memory):
+        def get(self, piece, default=None):
+            asked.append(piece)
+            return super().get(piece, default)
+
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+        def __iter__(self):
+            raise AssertionError("went through the memory")
+
+    encoder = tokenfile.Encoder(PATH)
+    encoder.seen = [Watched(), Watched()]
+    text = "one word or two words\nor three words"
+    want = encoder.ids(text)
+    assert np.frombuffer(want, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    asked.clear()
+    assert encoder.ids(text) == want
+    assert sorted(asked) == sorted(text.replace("\n", " ").split(" "))
