@@ -9,7 +9,7 @@ import numpy as np
 #: Children of a node, and members of a leaf.
 FAN = 16
 #: Queries that descend the tree together, and meetings of queries and nodes looked at at once: they bound the memory.
-QUERIES, MEETINGS = 512, 1 << 17
+QUERIES, MEETINGS = 512, 1 << 14
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

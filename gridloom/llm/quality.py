@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, join_spread, packed, raw, small_batches
+from gridloom.llm.common import cut, forget, join_spread, packed, raw, small_batches
 
 MIN_WORDS = 50
 #: A document fails the base rules if more than this many hundredths of its words stand in repeated windows.
@@ -93,6 +93,7 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), _host(F.col(host_col)).alias("host"), _key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             counts, sizes, hs, ws = [], [0], [], []
             for text in raw(batch.column("text")):

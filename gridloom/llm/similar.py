@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import by_key, cut, join_spread, packed, raw, small_batches
+from gridloom.llm.common import by_key, cut, forget, join_spread, packed, raw, small_batches
 from gridloom.llm.graph import components
 from gridloom.llm.grayindex import GrayIndex, gray_rank
 from gridloom.llm.simhash import fingerprint, hashes, shingles
@@ -70,6 +70,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS)
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident(F.col(id_col), F.col(text_col)).alias("ident"), F.col(text_col).alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             vids, fps, least, sizes = [], [], [], [0]
             for text in raw(batch.column("text")):
@@ -195,6 +196,7 @@ def _checked(meetings: DataFrame, vertices: DataFrame, texts: DataFrame, words:
     columns = [c.split()[0] for c in _MEETING.split(", ")]
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for table in by_key(batches, "block", TREE):
             met = _Meeting(table)
             seen = np.zeros(len(met.order), dtype=bool)
@@ -203,11 +205,13 @@ def _checked(meetings: DataFrame, vertices: DataFrame, texts: DataFrame, words:
             yield from table.take(pa.array(np.sort(met.order[seen]))).combine_chunks().to_batches()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [_unique(t, words).tobytes() for t in raw(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array(found, pa.binary())], names=["vid", "parts"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for table in by_key(batches, "block"):
             met = _Meeting(table)
             vids, held = table.column("vid"), table.column("parts")

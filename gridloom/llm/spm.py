@@ -13,7 +13,6 @@ text whose parts all come back comes back. All other models, and texts that hold
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 import zlib
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import THREADS, Memory, small_batches, stretches
+from gridloom.llm.common import THREADS, Memory, kept, small_batches, stretches
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -229,7 +228,7 @@ class Codec:
         return self.decode_all([ids])[0]
 
 
-@functools.lru_cache(2)
+@kept
 def codec(path: str) -> Codec:
     return Codec(path)
 

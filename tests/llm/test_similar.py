@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from math import comb
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from gridloom.llm import similar
+from gridloom.llm import common, similar, spm
 
 
 def sets(text, n=5):
@@ -122,3 +126,54 @@ def test_miss_rate_of_the_radius():
     # Sets of 4 and 5 shingles: the majorities differ if 2 of 4 bits are set and the fifth is.
     p = comb(4, 2) / 2**4 / 2
     assert sum(comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(similar.RADIUS + 1, 65)) < 1.1e-6
+
+
+def test_a_block_of_near_copies_takes_little_memory():
+    """All pairs of a full block are within the radius; they come in parts of some megabytes."""
+    rnd = np.random.default_rng(3)
+    n = similar.BLOCK
+    codes = np.zeros(n, np.uint64)
+    for _ in range(6):
+        codes ^= np.uint64(1) << rnd.integers(0, 64, n).astype(np.uint64)
+    least = np.tile(rnd.integers(0, 9, similar.KEYS), (n, 1))
+    least[:, :-1] = rnd.integers(0, 1 << 60, (n, similar.KEYS - 1))
+    table = pa.table({"block": np.zeros(n, np.int64), "own": np.full(n, 7, np.int32), "fp": codes.view(np.int64), "least": pa.array(list(least), pa.list_(pa.int64())), "class": np.arange(n)})
+    tracemalloc.start()
+    found = sum(len(i) for i, _ in similar._Meeting(table).candidates())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n * (n - 1) // 2
+    assert peak < 80e6  # 166 million with MEETINGS at 1 << 17
+
+
+def test_workers_let_go_of_other_stages_memory(spark):
+    """What a worker remembers for one operator goes when it works for the near-duplicates."""
+    made = []
+
+    @common.kept
+    def held(name):
+        made.append(name)
+        return name
+
+    assert held("a") == held("a") and made == ["a"]
+    common.forget()
+    assert held("a") == "a" and made == ["a", "a"]
+
+    spm.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = pa.table({"doc_id": [1], "ident": ["=1:x"], "text": ["some words"]}).to_batches()
+
+    class Docs:
+        """In the place of a frame: runs a stage's function in this process."""
+
+        def __init__(self):
+            self.sparkSession = spark
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, stage, schema):
+            return list(stage(iter(rows)))
+
+    assert spm.codec.cache_info().currsize == 1
+    assert len(similar.signatures(Docs(), "doc_id", "text")) == 1
+    assert spm.codec.cache_info().currsize == 0
