@@ -12,25 +12,25 @@ committed like any table, on any store that Spark can write, and a lost executor
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import compress, count, filterfalse, islice
+from itertools import compress, count, filterfalse, islice, pairwise
 from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Memory, cut, folder, small_batches, stretches
+from gridloom.llm.common import Memory, cut, folder, kept, small_batches, stretches
 
 SEEK_MAGIC = b"\xb1\xea\x92\x8f"  # 0x8F92EAB1
 SEEK_FRAME, DIRECTORY_FRAME = 0x184D2A5E, 0x184D2A50
@@ -43,6 +43,8 @@ LEVEL = 3
 REMEMBERED = 96 << 20
 #: Pieces of more characters aren't remembered; pieces encoded as one text.
 LONG, TOGETHER = 200, 500
+#: Characters of texts at hand from which their words are numbered by Arrow first; characters taken together at most, about.
+BULK, STRETCH = 20_000, 8_000_000
 
 
 class Encoder:
@@ -86,12 +88,15 @@ class Encoder:
         """As _encode, for pieces without white space: some hundreds of them go as one text, whose ids are cut by their bytes."""
         gap = " " if kind else "\n"
         parts = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        joined = [gap * kind + gap.join(p) for p in parts]
         out: list[bytes] = []
-        for part, found in zip(parts, self.tokenizer.encode_batch([gap * kind + gap.join(p) for p in parts], add_special_tokens=False), strict=True):
+        for part, text, found in zip(parts, joined, self.tokenizer.encode_batch(joined, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype="<u4")
             reached = np.cumsum(self.width[ids])
-            sizes = np.fromiter((len(w.encode()) + 1 for w in part), np.int64, len(part))
-            ends = np.cumsum(sizes) - (0 if kind else 1)
+            data = np.frombuffer(text.encode(), np.uint8)
+            ends = np.r_[np.flatnonzero(data == ord(gap))[kind:], len(data)]
+            if len(ends) != len(part):  # a piece begins with blanks
+                ends = np.cumsum([len(w.encode()) + 1 for w in part]) - (0 if kind else 1)
             last = np.searchsorted(reached, ends)
             if last[-1] >= len(ids) or not np.array_equal(reached[last], ends):
                 out += self._encode([" " * kind + w for w in part])
@@ -129,24 +134,57 @@ class Encoder:
         seen.add(ends, [seen[p[:-1]] + self.marks[p[-1]] for p in ends])
 
     @staticmethod
-    def _lines(text: str) -> list[list[str]]:
-        lines = text.split("\n")
-        # Printable texts have no white space but blanks; these, and newlines, have to stand single between words.
-        if "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text[0] not in " \n" and text[-1] not in " \n" and all(map(str.isprintable, lines)):
-            return [line.split(" ") for line in lines]
-        if " ".join(text.split()) == text.replace("\n", " "):
-            return [line.split(" ") for line in lines]
-        return [re.split(r"(?<=\S) ", text)]
+    def _single(text: str) -> bool:
+        """Whether the text's white space is blanks and newlines that stand single between words."""
+        # Printable texts have no white space but blanks.
+        if "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text and text[0] not in " \n" and text[-1] not in " \n" and all(map(str.isprintable, text.split("\n"))):
+            return True
+        return " ".join(text.split()) == text.replace("\n", " ")
+
+    @classmethod
+    def _lines(cls, text: str) -> list[list[str]]:
+        return [line.split(" ") for line in text.split("\n")] if cls._single(text) else [re.split(r"(?<=\S) ", text)]
+
+    def _bulk(self, texts: list[str]) -> list[bytes]:
+        """Ids of many texts of single white space: Arrow numbers their words, and each distinct one is looked up once."""
+        data = [b"\n" + t.encode() for t in texts]
+        begins = np.cumsum([0, *map(len, data)])
+        held = np.frombuffer(b"".join(data), np.uint8)
+        # A word with the blank or newline before it, so that words touch and that byte tells the kind.
+        cuts = np.flatnonzero((held == 32) | (held == 10))
+        words = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(np.r_[cuts, len(held)]), pa.py_buffer(held)]).dictionary_encode()
+        _, ends, content = words.dictionary.buffers()
+        gaps = np.frombuffer(content, np.uint8)[np.frombuffer(ends, np.int64)[: len(words.dictionary)]]
+        spelled = pc.utf8_slice_codeunits(words.dictionary, 1).to_numpy(zero_copy_only=False)
+        ids = np.empty(len(spelled), dtype=object)
+        for kind, gap in enumerate(b"\n "):
+            places = np.flatnonzero(gaps == gap)
+            pieces = spelled[places].tolist()
+            found = list(map(self.seen[kind].get, pieces))
+            new = list(compress(count(), map(not_, found)))
+            self._learn(kind, set(map(pieces.__getitem__, new)))
+            for i in new:
+                found[i] = self.seen[kind][pieces[i]]
+            ids[places] = found if kind else [self.newline + x for x in found]
+        made = pa.array(ids, pa.large_binary()).take(words.indices)
+        _, ends, content = made.buffers()
+        at = np.frombuffer(ends, np.int64)[np.searchsorted(cuts, begins)].tolist()
+        view, skip = memoryview(content), len(self.newline)  # no newline stands before a text
+        return [view[a + skip : b].tobytes() for a, b in pairwise(at)]
 
     def ids_all(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         out: list[bytes] = []
-        for some in stretches(texts):
+        for some in stretches(texts, STRETCH):
             whole = [not self.apart or any(a in t for a in self.added) for t in some]
             asked = [t for t, w in zip(some, whole, strict=True) if w]
             plain = iter(self._encode(asked) if asked else ())
-            cut = [self._lines(t) if t and not w else [] for t, w in zip(some, whole, strict=True)]
             self._turn()
+            single = [bool(t) and not w and self._single(t) for t, w in zip(some, whole, strict=True)]
+            if sum(map(len, compress(some, single))) < BULK:
+                single = [False] * len(some)
+            bulk = iter(self._bulk(list(compress(some, single))) if any(single) else ())
+            cut = [self._lines(t) if t and not w and not s else [] for t, w, s in zip(some, whole, single, strict=True)]
             starts, parts, held = set(), set(), []
             known = self.seen[1].get
             for lines in cut:
@@ -167,14 +205,14 @@ class Encoder:
                     found[i - 1] = rest[line[i]]
                 return first[line[0]] + b"".join(found)
 
-            out += [next(plain) if w else self.newline.join(map(line_ids, lines)) if lines else b"" for lines, w in zip(cut, whole, strict=True)]
+            out += [next(plain) if w else next(bulk) if s else self.newline.join(map(line_ids, lines)) if lines else b"" for lines, w, s in zip(cut, whole, single, strict=True)]
         return out
 
     def ids(self, text: str) -> bytes:
         return self.ids_all([text])[0]
 
 
-@functools.lru_cache(2)
+@kept
 def encoder_of(path: str, special: bool = True) -> Encoder:
     """One for each Python worker: what it remembers serves all its tasks."""
     return Encoder(path, special)

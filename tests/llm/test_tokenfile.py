@@ -136,3 +136,26 @@ def test_known_words_are_looked_up_once():
     asked.clear()
     assert encoder.ids(text) == want
     assert sorted(asked) == sorted(text.replace("\n", " ").split(" "))
+
+
+def test_many_texts_look_up_distinct_words():
+    """Where there are many words, each distinct one is looked up, not each occurrence."""
+    rnd = random.Random(5)
+    words = [*("".join(rnd.choice("abcé日'1.,-") for _ in range(rnd.randint(1, 9))) for _ in range(300)), "x" * 300 + ",", "z​", "a\x00b"]
+    texts = ["".join(rnd.choice(words) + rnd.choice("   \n") for _ in range(2000)) + "end" for _ in range(8)]
+    texts += ["", "a  b\t c", "x" * 300 + " y", "\n" + texts[0], "a <|endoftext|> b", " lead and trail ", "y " * 20 + "é"]
+    asked = []
+
+    class Watched(Memory):
+        def get(self, piece, default=None):
+            asked.append(piece)
+            return super().get(piece, default)
+
+    encoder = tokenfile.Encoder(PATH)
+    encoder.seen = [Watched(), Watched()]
+    want = [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        asked.clear()
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids_all(texts)] == want
+    assert len(asked) < 4000  # of over 16,000 words
+    assert [np.frombuffer(encoder.ids(t), "<u4").tolist() for t in texts] == want
